@@ -22,8 +22,13 @@ def block_of(order: str, size: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(order) / F.lit(size)).cast("long")
 
 
-def _with_block(df: DataFrame, order: str, size: int) -> DataFrame:
-    return df.withColumn(_BLK, block_of(order, size))
+def blocked(df: DataFrame, order: str, size: int = BLOCK_ROWS) -> DataFrame:
+    """Tag rows with their block; several scans over one tag share a shuffle."""
+    return df if _BLK in df.columns else df.withColumn(_BLK, block_of(order, size))
+
+
+def _untag(df: DataFrame, original: DataFrame) -> DataFrame:
+    return df if _BLK in original.columns else df.drop(_BLK)
 
 
 def _carry(df: DataFrame, group: list[str], summary: Column) -> DataFrame:
@@ -39,33 +44,33 @@ def _carry(df: DataFrame, group: list[str], summary: Column) -> DataFrame:
 def running_total(df: DataFrame, group: list[str], order: str, value: Column,
                   out: str, size: int = BLOCK_ROWS, inclusive: bool = False) -> DataFrame:
     """Prefix sum of ``value`` within the group (exclusive unless asked)."""
-    data = _with_block(df.withColumn("__v", value.cast("long")), order, size)
+    data = blocked(df.withColumn("__v", value.cast("long")), order, size)
     end = 0 if inclusive else -1
     inside = (Window.partitionBy(*group, _BLK).orderBy(order)
               .rowsBetween(Window.unboundedPreceding, end))
     scanned = data.withColumn("__in", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
     base = _carry(data, group, F.sum("__v"))
-    return (scanned.join(base, [*group, _BLK], "left")
-            .withColumn(out, F.col("__in") + F.coalesce("__base", F.lit(0)))
-            .drop("__v", "__in", "__base", _BLK))
+    return _untag(scanned.join(base, [*group, _BLK], "left")
+                  .withColumn(out, F.col("__in") + F.coalesce("__base", F.lit(0)))
+                  .drop("__v", "__in", "__base"), df)
 
 
 def row_numbers(df: DataFrame, group: list[str], order: str, out: str,
                 size: int = BLOCK_ROWS, then: list[str] | None = None) -> DataFrame:
     """1-based position in the group, ordered by ``order`` and then ``then``."""
-    data = _with_block(df, order, size)
+    data = blocked(df, order, size)
     inside = Window.partitionBy(*group, _BLK).orderBy(order, *(then or []))
     scanned = data.withColumn("__in", F.row_number().over(inside).cast("long"))
     base = _carry(data, group, F.count(F.lit(1)))
-    return (scanned.join(base, [*group, _BLK], "left")
-            .withColumn(out, F.col("__in") + F.coalesce("__base", F.lit(0)))
-            .drop("__in", "__base", _BLK))
+    return _untag(scanned.join(base, [*group, _BLK], "left")
+                  .withColumn(out, F.col("__in") + F.coalesce("__base", F.lit(0)))
+                  .drop("__in", "__base"), df)
 
 
 def with_previous(df: DataFrame, group: list[str], order: str, cols: list[str],
                   out: str, size: int = BLOCK_ROWS) -> DataFrame:
     """Adds ``out``: a struct of ``cols`` of the preceding row, NULL for the first."""
-    data = _with_block(df, order, size)
+    data = blocked(df, order, size)
     payload = F.struct(*cols)
     inside = Window.partitionBy(*group, _BLK).orderBy(order)
     scanned = data.withColumn("__prev", F.lag(payload).over(inside))
@@ -73,9 +78,9 @@ def with_previous(df: DataFrame, group: list[str], order: str, cols: list[str],
     by_block = Window.partitionBy(*group).orderBy(_BLK)
     carried = (tails.select(*group, _BLK, F.lag("__tail").over(by_block).alias("__carry"))
                .filter(F.col("__carry").isNotNull()))
-    return (scanned.join(carried, [*group, _BLK], "left")
-            .withColumn(out, F.coalesce("__prev", "__carry"))
-            .drop("__prev", "__carry", _BLK))
+    return _untag(scanned.join(carried, [*group, _BLK], "left")
+                  .withColumn(out, F.coalesce("__prev", "__carry"))
+                  .drop("__prev", "__carry"), df)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -86,15 +91,17 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return picked.select(*keys, *[F.col(f"__first.{c}").alias(c) for c in rest])
 
 
+def join_in_order(pieces: Column, sep: str) -> Column:
+    """Join the ``t`` fields of an array of structs, sorted by the fields before."""
+    return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["t"]), sep)
+
+
 def ordered_concat(df: DataFrame, group: list[str], order: str, text: str, out: str,
                    sep: str, size: int = BLOCK_ROWS) -> DataFrame:
     """Join texts in order: first inside a block, then one piece per block."""
-    def join_sorted(pieces: Column) -> Column:
-        return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["t"]), sep)
-
-    data = _with_block(df.filter(F.col(text).isNotNull()), order, size)
+    data = blocked(df.filter(F.col(text).isNotNull()), order, size)
     partial = data.groupBy(*group, _BLK).agg(
-        join_sorted(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))
-                    ).alias("t"))
+        join_in_order(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))),
+                      sep).alias("t"))
     return partial.groupBy(*group).agg(
-        join_sorted(F.collect_list(F.struct(F.col(_BLK).alias("o"), "t"))).alias(out))
+        join_in_order(F.collect_list(F.struct(F.col(_BLK).alias("o"), "t")), sep).alias(out))

@@ -68,8 +68,8 @@ def compare(spark, con, sf_dir, query, sql):
         return False, f"columns {gcols} != {wcols}"
     if got != want:
         gs, ws = set(map(repr, got)), set(map(repr, want))
-        return False, (f"rows {len(got)} vs {len(want)}; only spark: {sorted(gs - ws)[:3]}; "
-                       f"only sql: {sorted(ws - gs)[:3]}")
+        return False, (f"rows {len(got)} vs {len(want)}; only spark: {[v[:300] for v in sorted(gs - ws)[:3]]}; "
+                       f"only sql: {[v[:300] for v in sorted(ws - gs)[:3]]}")
     return True, f"rows={len(got)}"
 
 
@@ -80,7 +80,7 @@ def main() -> int:
     want = sys.argv[2:]
     sf_dir = f"/root/testdata/{sf}"
     spark = build_session(master="local[8]", shuffle_partitions=8,
-                          extra={"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+                          extra={"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     queries, sqls, bad = entry.queries(), entry.oracle_sql(), 0
@@ -95,7 +95,7 @@ def main() -> int:
             if os.environ.get("TRACE"):
                 traceback.print_exc()
         bad += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name:28s} {time.time() - t0:6.2f}s {msg}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {name:28s} {time.time() - t0:6.2f}s {msg[:900]}", flush=True)
     print("failures:", bad)
     spark.stop()
     return bad
