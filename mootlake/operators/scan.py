@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 65_536
+FREQUENT_SHARE = 1_000
 _BLK = "__blk"
 
 
@@ -83,6 +84,20 @@ def with_previous(df: DataFrame, group: list[str], order: str, cols: list[str],
                   .drop("__prev", "__carry"), df)
 
 
+def join_unique(rows: DataFrame, uniques: DataFrame, key: list[str], n_rows: int) -> DataFrame:
+    """Inner join with a side that is unique per key and knows each key's ``size``.
+
+    Keys that hold at least 1/FREQUENT_SHARE of all rows are at most
+    FREQUENT_SHARE many, so exactly those are broadcast; the rest is shuffled.
+    """
+    floor = max(64, n_rows // FREQUENT_SHARE)
+    big = uniques.filter(F.col("size") >= floor)
+    hot = rows.join(F.broadcast(big.drop("size")), key)
+    cold = (rows.join(F.broadcast(big.select(*key)), key, "left_anti")
+            .join(uniques.filter(F.col("size") < floor).drop("size"), key))
+    return hot.unionByName(cold)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keep-first de-duplication as a partial aggregate (no window, no sort)."""
     rest = [c for c in df.columns if c not in keys]

@@ -58,10 +58,12 @@ def table(cols, rows):
 
 def compare(spark, con, sf_dir, query, sql):
     """(ok, message); runs both sides and compares whole results."""
+    t0 = time.time()
     df = query(spark, sf_dir)
     got, gcols = table(df.columns, [tuple(r) for r in df.collect()])
+    spent = f"spark {time.time() - t0:.2f}s "
     if sql is None:
-        return True, f"rows={len(got)} (no SQL)"
+        return True, spent + f"rows={len(got)} (no SQL)"
     cur = con.execute(sql)
     want, wcols = table([d[0] for d in cur.description], cur.fetchall())
     if gcols != wcols:
@@ -70,7 +72,7 @@ def compare(spark, con, sf_dir, query, sql):
         gs, ws = set(map(repr, got)), set(map(repr, want))
         return False, (f"rows {len(got)} vs {len(want)}; only spark: {[v[:300] for v in sorted(gs - ws)[:3]]}; "
                        f"only sql: {[v[:300] for v in sorted(ws - gs)[:3]]}")
-    return True, f"rows={len(got)}"
+    return True, spent + f"rows={len(got)}"
 
 
 def main() -> int:
