@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import fixed
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use`` (an expression, not a UDF)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim any white space, not only blanks."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
@@ -133,9 +138,9 @@ def keyword_category(name: Column) -> Column:
 
 def clean_response(raw: Column) -> Column:
     """Drop thinking blocks; inside fences keep only the fenced part."""
-    plain = strip(F.regexp_replace(raw, r"(?is)<think>.*?</think>", ""))
     fenced = r"```(?:json)?\s*([\s\S]+?)\s*```"
-    return F.when(plain.rlike(fenced), strip(F.regexp_extract(plain, fenced, 1))).otherwise(plain)
+    return let(strip(F.regexp_replace(raw, r"(?is)<think>.*?</think>", "")), lambda plain: F.when(
+        plain.rlike(fenced), strip(F.regexp_extract(plain, fenced, 1))).otherwise(plain))
 
 
 def strip_leading_front_matter(md: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import MIN_ANCHOR_WORDS
 from ..functions.text import filled, quote_words, strip, word_offset
+from ..session import spread
 from . import scan
 
 BUCKET_CHARS = 4_096
@@ -27,7 +28,7 @@ def _grams(words: Column, k: Column) -> Column:
 
 def _quotes(quotes: DataFrame, min_words: int) -> DataFrame:
     """Distinct quotes of a meeting with the gram length they need."""
-    words = quotes.select("meeting_id", "item_no", quote_words(F.col("quote")).alias("words")).filter(
+    words = spread(quotes).select("meeting_id", "item_no", quote_words(F.col("quote")).alias("words")).filter(
         F.size("words") > 0)
     return words.select("meeting_id", "item_no", "words", F.least(F.lit(min_words), F.size("words")).alias("k"),
                         F.sha2(F.array_join("words", " "), 256).alias("quote_key"))
@@ -50,7 +51,7 @@ def _best_runs(asked: DataFrame, hay_grams: DataFrame) -> DataFrame:
 def _text_grams(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """Grams of the texts, only in the lengths some quote of the meeting asks for."""
     lengths = asked.groupBy("meeting_id").agg(F.collect_set("k").alias("ks"))
-    words = texts.select("meeting_id", "part_no", quote_words(F.col("text")).alias("words"))
+    words = spread(texts).select("meeting_id", "part_no", quote_words(F.col("text")).alias("words"))
     return (words.join(lengths, "meeting_id").withColumn("k", F.explode("ks"))
             .select("meeting_id", "part_no", "k", F.posexplode(_grams(F.col("words"), F.col("k"))).alias("hp", "gram")))
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import fixed
 from ..functions.text import (clean_response, filled, first_filled, is_null_text, is_speaker_label, normalize,
                               strip, strip_front_matter)
+from ..session import spread
 from . import scan
 from .dedup import THRESHOLD, dedup_greedy, distinct_texts
 
@@ -38,8 +39,9 @@ def decode_extractions(responses: DataFrame) -> DataFrame:
     An answer that is no JSON keeps its first 500 characters as summary and is
     marked; nothing is lost and nothing fails.
     """
-    parsed = responses.withColumn("r", F.from_json(
-        clean_response(F.col("raw")), RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    # the generator keeps the optimizer from repeating the parse per column
+    parsed = spread(responses).withColumn("r", F.explode(F.array(F.from_json(
+        clean_response(F.col("raw")), RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))))
     bad = F.coalesce(F.col("r._broken").isNotNull(), F.lit(True))
     plain = [F.when(~bad, F.col(f"r.{f.name}")).alias(f.name) for f in RESPONSE if f.name not in ("_broken", "summary")]
     return parsed.select("meeting_id", "chunk_id", bad.alias("parse_error"),

@@ -230,7 +230,7 @@ def summary_payload(x):
 WITH a AS (SELECT doc_id AS meeting_id, CASE WHEN n_chars % 3 = 0 THEN concat('---', chr(10), 'title: x', chr(10), '---', chr(10), chr(10), text) ELSE text END AS md,
                   regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]+', 'x', 'g') AS w1, regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]+', 'y', 'g') AS w2 FROM documents)
 SELECT meeting_id, substring(CASE WHEN md LIKE '---%' THEN regexp_replace(md, '(?s)^---.*?\\n---\\s*', '') ELSE md END, 1, 6000) AS summary,
-       concat_ws(' | ', w1, w2, 'plain', w1, w2, w1) AS decisions, concat_ws(' | ', w1, w2) AS open_questions, w2 AS risks, '' AS blockers FROM a""")
+       concat_ws(' | ', w1, CASE WHEN w2 = '' THEN 't' ELSE w2 END, 'plain', w1, w2, w1) AS decisions, concat_ws(' | ', w1, nullif(w2, '')) AS open_questions, w2 AS risks, '' AS blockers FROM a""")
 def brief_extras(x):
     w = lambda i, r: F.regexp_replace(F.split_part("text", F.lit(" "), F.lit(i)), "[^A-Za-z]+", r)
     doc = lambda t: F.format_string(t, w(1, "x"), w(2, "y"))

@@ -65,6 +65,15 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row when the input has few files.
+
+    Large inputs have more files than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def local_files_uri(path: str) -> str:
     """Absolute paths for files a test wrote itself."""
     return path if "://" in path else os.path.abspath(path)
