@@ -14,42 +14,86 @@ KEY = ["meeting_id"]
 _BLOCK = r"(?s)\[(\d{2}:\d{2}:\d{2}) - (\d{2}:\d{2}:\d{2})\] ([^\n:]+):\n(.*?)(?=\n\[\d{2}:\d{2}|\z)"
 
 
-def speaker_turns(segments: DataFrame) -> DataFrame:
-    """Merge neighbouring segments of one voice into turns.
-
-    Runs are found block-wise, so a meeting of any length is spread over tasks;
-    texts are joined inside a block first.  Segments without a label at the very
-    beginning have no start of their own and read as second 0.
-    """
+def _segments(segments: DataFrame) -> DataFrame:
     start = number_or(F.col("start_s"), F.lit(0.0))
-    seg = scan.blocked(segments.select(
+    return scan.blocked(segments.select(
         "meeting_id", "seg_no", "speaker", start.alias("start_s"),
         number_or(F.col("end_s"), start).alias("end_s"),
         filled(strip(F.col("text"))).alias("text")), "seg_no")
-    marked = scan.with_previous(seg, KEY, "seg_no", ["speaker"], "prev")
-    runs = scan.running_total(
-        marked.withColumn("is_new", ~F.col("speaker").eqNullSafe(F.col("prev.speaker"))),
-        KEY, "seg_no", F.col("is_new").cast("int"), "run", inclusive=True)
+
+
+def _local_runs(segments: DataFrame) -> DataFrame:
+    """Runs of one voice, counted from 0 in each meeting: one row per run.
+
+    Runs are found block-wise, so a meeting of any length is spread over tasks;
+    texts are joined inside a block first.
+    """
+    marked = scan.with_previous(_segments(segments), KEY, "seg_no", ["speaker"], "prev")
+    changed = F.col("prev").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("prev.speaker"))
+    runs = scan.running_total(marked, KEY, "seg_no", changed.cast("int"), "run", inclusive=True)
     piece = runs.groupBy("meeting_id", "run", "__blk").agg(
-        F.min("seg_no").alias("seg_no"), F.min_by("start_s", "seg_no").alias("start_s"),
-        F.max_by(F.struct("seg_no", "end_s"), "seg_no").alias("tail"),
+        F.min("seg_no").alias("first_seg"), F.min_by("start_s", "seg_no").alias("start_s"),
+        F.max_by("end_s", "seg_no").alias("end_s"), F.max("seg_no").alias("last_seg"),
         F.first("speaker").alias("speaker"),
         filled(scan.join_in_order(F.collect_list(F.when(
             F.col("text").isNotNull(), F.struct(F.col("seg_no").alias("o"), F.col("text").alias("t")))),
-            " ")).alias("t"))
-    turns = piece.groupBy("meeting_id", "run").agg(
-        F.min("seg_no").alias("first_seg"), F.min_by("start_s", "seg_no").alias("start_s"),
-        F.max_by(F.col("tail.end_s"), F.col("tail.seg_no")).alias("end_s"),
+            " ")).alias("text"))
+    return _fold_pieces(piece)
+
+
+def _fold_pieces(piece: DataFrame) -> DataFrame:
+    """Pieces of a run, in segment order, become one row."""
+    return piece.groupBy("meeting_id", "run").agg(
+        F.min("first_seg").alias("first_seg"), F.min_by("start_s", "first_seg").alias("start_s"),
+        F.max_by("end_s", "last_seg").alias("end_s"), F.max("last_seg").alias("last_seg"),
         F.first("speaker").alias("speaker"),
         filled(scan.join_in_order(F.collect_list(F.when(
-            F.col("t").isNotNull(), F.struct(F.col("__blk").alias("o"), "t"))), " ")).alias("text"))
-    spoken = turns.filter(F.col("text").isNotNull())
+            F.col("text").isNotNull(), F.struct(F.col("first_seg").alias("o"), F.col("text").alias("t")))),
+            " ")).alias("text"))
+
+
+def _number_runs(runs: DataFrame, open_turns: DataFrame | None) -> DataFrame:
+    """Meeting-wide run numbers; run 0 is the unlabelled beginning.
+
+    With ``open_turns`` (the last run so far of each meeting) the first run goes
+    on with it when the voice is the same.
+    """
+    heads = runs.filter("run = 0").select("meeting_id", F.struct("speaker").alias("h"))
+    if open_turns is None:
+        shift = heads.select("meeting_id", F.col("h.speaker").isNotNull().cast("long").alias("shift"))
+    else:
+        known = open_turns.select("meeting_id", F.struct("speaker", "run").alias("k"))
+        shift = heads.join(known, "meeting_id", "left").select("meeting_id", F.when(
+            F.col("k").isNull(), F.col("h.speaker").isNotNull().cast("long")).otherwise(
+            F.col("k.run") + (~F.col("h.speaker").eqNullSafe(F.col("k.speaker"))).cast("long")).alias("shift"))
+    return runs.join(shift, "meeting_id").withColumn("run", F.col("run") + F.col("shift")).drop("shift")
+
+
+def advance_turns(segments: DataFrame, open_turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One step of a live transcript: (runs closed by this batch, runs still open).
+
+    Segments of a meeting arrive in order; ``open_turns`` holds one row per meeting.
+    """
+    fresh = _number_runs(_local_runs(segments), open_turns)
+    runs = _fold_pieces(fresh.unionByName(open_turns))
+    last = runs.groupBy("meeting_id").agg(F.max("run").alias("run"))
+    return runs.join(last, ["meeting_id", "run"], "left_anti"), runs.join(last, ["meeting_id", "run"], "left_semi")
+
+
+def finish_turns(runs: DataFrame) -> DataFrame:
+    """Runs with words as turns, numbered from 1; the unlabelled beginning starts at 0."""
+    spoken = runs.filter(F.col("text").isNotNull())
     return scan.row_numbers(spoken, KEY, "first_seg", "turn_no").select(
         "meeting_id", "turn_no",
         F.coalesce(filled(F.col("speaker")), F.lit(fixed.UNKNOWN_SPEAKER)).alias("speaker"),
         F.when(F.col("run") == 0, F.lit(0.0)).otherwise(F.col("start_s")).alias("start_s"), "end_s", "text")
 
 
+def speaker_turns(segments: DataFrame) -> DataFrame:
+    """Merge neighbouring segments of one voice into turns."""
+    return finish_turns(_number_runs(_local_runs(segments), None))
+
+
 def rendered(start: Column, end: Column, speaker: Column, text: Column) -> Column:
     """The written form of one turn."""
     return F.concat(F.lit("["), hms(start), F.lit(" - "), hms(end), F.lit("] "), speaker, F.lit(":\n"), text)

@@ -78,8 +78,9 @@ MASKED = f"""{TOKENS},
 pc AS (SELECT sp.meeting_id, sp.part, sp.start, sp.stop, token,
        coalesce(lag(sp.stop) OVER (PARTITION BY sp.meeting_id, sp.part ORDER BY sp.start), 0) AS before
        FROM sp JOIN tm ON tm.meeting_id = sp.meeting_id AND tm.value = sp.value),
-mk AS (SELECT p.meeting_id, p.part, coalesce(concat(string_agg(concat(substring(p.text, before + 1, pc.start - before), token), '' ORDER BY pc.start),
-              substring(any_value(p.text), max(pc.stop) + 1)), any_value(p.text)) AS text
+mk AS (SELECT p.meeting_id, p.part, CASE WHEN count(pc.start) = 0 THEN any_value(p.text)
+              ELSE concat(string_agg(concat(substring(p.text, before + 1, pc.start - before), token), '' ORDER BY pc.start),
+                          substring(any_value(p.text), max(pc.stop) + 1)) END AS text
        FROM p LEFT JOIN pc ON pc.meeting_id = p.meeting_id AND pc.part = p.part GROUP BY p.meeting_id, p.part)"""
 
 
