@@ -5,7 +5,7 @@ SPEAKER_LABEL = r"(?iU)^(SPEAKER|PERSON|UNKNOWN)[_ ]?"
 UNKNOWN_SPEAKER = "UNKNOWN_SPEAKER"
 TOKEN_TYPES = ["PERSON", "COMPANY", "LOCATION", "EMAIL", "PHONE", "URL", "DOMAIN", "TRANSACTION"]
 TOKEN = r"(?:PERSON|COMPANY|LOCATION|EMAIL|PHONE|URL|DOMAIN|TRANSACTION)_\d{3,}"
-QUOTE_WORD = r"(?iu)[а-яёa-z0-9@€$%+]+"
+QUOTE_WORD = r"[а-яёА-ЯЁa-zA-Z0-9@€$%+]+"
 WORD_EDGE = " ,.!?—-…:;\"'«»"
 MIN_ANCHOR_WORDS = 4
 

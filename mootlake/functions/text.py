@@ -64,6 +64,29 @@ def quote_words(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(fixed.QUOTE_WORD), F.lit(0)), fold_yo)
 
 
+def running_offsets(lengths: Column, nth: Column, step: int = 32) -> Column:
+    """Sum of the first ``nth`` lengths, for use inside a lambda over the array.
+
+    ``lengths`` is struct(len: array, block: array) from ``offset_table``; only
+    one block is walked, elements are fetched by index.
+    """
+    done = F.floor(nth / step).cast("int")
+    rest = F.when(nth % step > 0, F.sequence(done * step, nth - 1)).otherwise(F.array().cast("array<int>"))
+    return F.get(lengths["block"], done) + F.aggregate(rest, F.lit(0), lambda a, j: a + F.get(lengths["len"], j))
+
+
+def offset_table(lengths: Column, step: int = 32) -> Column:
+    """Lengths with the running total at every ``step``-th position."""
+    total = lambda arr, idx: F.aggregate(idx, F.lit(0), lambda a, j: a + F.coalesce(F.get(arr, j), F.lit(0)))
+
+    def table(arr: Column) -> Column:
+        n_blocks = F.ceil(F.size(arr) / step).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), n_blocks), lambda b: total(arr, F.sequence(b * step, b * step + step - 1)))
+        return let(sums, lambda s: F.struct(arr.alias("len"), F.transform(
+            F.sequence(F.lit(0), n_blocks), lambda b: F.when(b > 0, total(s, F.sequence(F.lit(0), b - 1))).otherwise(0)).alias("block")))
+    return let(lengths, table)
+
+
 def word_offset(c: Column, nth: Column) -> Column:
     """Character offset of the nth (0-based) quote word of a text."""
     gaps = F.split(c, fixed.QUOTE_WORD, -1)

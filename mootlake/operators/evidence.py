@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import MIN_ANCHOR_WORDS
 from ..functions.text import filled, quote_words, strip, word_offset
-from ..session import spread
+from ..session import spread, stage_table
 from . import scan
 
 BUCKET_CHARS = 4_096
 
 
-def _grams(words: Column, k: Column) -> Column:
-    """All k-grams in order; empty when there are fewer words."""
+def _grams(words: Column, k: Column, longest: int = MIN_ANCHOR_WORDS) -> Column:
+    """All k-grams (k <= longest) in order; empty when there are fewer words.
+
+    Single elements are fetched by index: a slice would copy the whole array.
+    """
     first = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(
         F.array().cast("array<int>"))
-    return F.transform(first, lambda i: F.array_join(F.slice(words, i + 1, k), " "))
+    return F.transform(first, lambda i: F.concat_ws(
+        " ", F.get(words, i), *[F.when(F.lit(j) < k, F.get(words, i + j)) for j in range(1, longest)]))
 
 
 def _quotes(quotes: DataFrame, min_words: int) -> DataFrame:
@@ -34,10 +38,10 @@ def _quotes(quotes: DataFrame, min_words: int) -> DataFrame:
                         F.sha2(F.array_join("words", " "), 256).alias("quote_key"))
 
 
-def _best_runs(asked: DataFrame, hay_grams: DataFrame) -> DataFrame:
+def _best_runs(asked: DataFrame, hay_grams: DataFrame, longest: int) -> DataFrame:
     """Longest run per distinct quote: earliest in the quote, then in the text."""
     q_grams = asked.dropDuplicates(["meeting_id", "quote_key"]).select(
-        "meeting_id", "quote_key", "k", F.posexplode(_grams(F.col("words"), F.col("k"))).alias("qp", "gram"))
+        "meeting_id", "quote_key", "k", F.posexplode(_grams(F.col("words"), F.col("k"), longest)).alias("qp", "gram"))
     hits = hay_grams.join(q_grams, ["meeting_id", "k", "gram"]).withColumn("diagonal", F.col("hp") - F.col("qp"))
     line = Window.partitionBy("meeting_id", "quote_key", "part_no", "diagonal").orderBy("qp")
     runs = (hits.withColumn("run", F.col("qp") - F.row_number().over(line))
@@ -48,19 +52,19 @@ def _best_runs(asked: DataFrame, hay_grams: DataFrame) -> DataFrame:
         "meeting_id", "quote_key", "b.part_no", "b.hp", "b.run_len")
 
 
-def _text_grams(texts: DataFrame, asked: DataFrame) -> DataFrame:
+def _text_grams(texts: DataFrame, asked: DataFrame, longest: int) -> DataFrame:
     """Grams of the texts, only in the lengths some quote of the meeting asks for."""
     lengths = asked.groupBy("meeting_id").agg(F.collect_set("k").alias("ks"))
     words = spread(texts).select("meeting_id", "part_no", quote_words(F.col("text")).alias("words"))
     return (words.join(lengths, "meeting_id").withColumn("k", F.explode("ks"))
-            .select("meeting_id", "part_no", "k", F.posexplode(_grams(F.col("words"), F.col("k"))).alias("hp", "gram")))
+            .select("meeting_id", "part_no", "k", F.posexplode(_grams(F.col("words"), F.col("k"), longest)).alias("hp", "gram")))
 
 
 def anchor_quotes(quotes: DataFrame, texts: DataFrame, min_words: int = MIN_ANCHOR_WORDS,
                   offsets: bool = True) -> DataFrame:
     """Where each quote (meeting_id, item_no, quote) occurs in (meeting_id, part_no, text)."""
-    asked = _quotes(quotes, min_words)
-    best = _best_runs(asked, _text_grams(texts, asked))
+    asked = stage_table(_quotes(quotes, min_words), "quotes")
+    best = _best_runs(asked, _text_grams(texts, asked, min_words), min_words)
     out = asked.select("meeting_id", "item_no", "quote_key").join(best, ["meeting_id", "quote_key"])
     if offsets:
         out = out.join(texts.select("meeting_id", "part_no", "text"), ["meeting_id", "part_no"]).withColumn(
@@ -69,9 +73,8 @@ def anchor_quotes(quotes: DataFrame, texts: DataFrame, min_words: int = MIN_ANCH
     return out.select("meeting_id", "item_no", *found, *(["char_pos"] if offsets else []))
 
 
-def _timed_grams(words: DataFrame, asked: DataFrame, block: int = scan.BLOCK_ROWS) -> DataFrame:
+def _timed_grams(words: DataFrame, asked: DataFrame, longest: int, block: int = scan.BLOCK_ROWS) -> DataFrame:
     """Grams over timed words; a block also reads the first words of the next one."""
-    longest = MIN_ANCHOR_WORDS
     blk = F.floor(F.col("word_no") / block)
     copies = F.when((F.col("word_no") % block < longest - 1) & (blk > 0), F.array(blk, blk - 1)).otherwise(F.array(blk))
     rows = words.select("meeting_id", "word_no", "word", F.explode(copies).alias("blk"))
@@ -98,8 +101,8 @@ def quote_time(quotes: DataFrame, turns: DataFrame, words: DataFrame | None = No
     seconds = turns.select("meeting_id", F.col("turn_no").alias("part_no"), F.col("start_sec").alias("block_sec"))
     timed = at.join(seconds, ["meeting_id", "part_no"]).select("meeting_id", "item_no", "block_sec")
     if words is not None:
-        asked = _quotes(quotes, min_words)
-        best = _best_runs(asked, _timed_grams(words, asked)).select(
+        asked = stage_table(_quotes(quotes, min_words), "quotes")
+        best = _best_runs(asked, _timed_grams(words, asked, min_words), min_words).select(
             "meeting_id", "quote_key", F.col("hp").alias("word_no"))
         exact = (asked.select("meeting_id", "item_no", "quote_key").join(best, ["meeting_id", "quote_key"])
                  .join(words.select("meeting_id", "word_no", "start_s"), ["meeting_id", "word_no"])

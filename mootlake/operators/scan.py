@@ -106,6 +106,35 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return picked.select(*keys, *[F.col(f"__first.{c}").alias(c) for c in rest])
 
 
+def run_numbers(df: DataFrame, group: list[str], order: str, value: str, out: str,
+                size: int = BLOCK_ROWS) -> DataFrame:
+    """Number the runs of equal neighbouring values, from 0; NULL equals NULL.
+
+    A block is summed up by its first value, last value and inner changes, so
+    one small scan over the blocks gives each its first run number.
+    """
+    data = blocked(df, order, size)
+    here = Window.partitionBy(*group, _BLK).orderBy(order)
+    v = F.struct(F.col(value).alias("v"))
+
+    def changes(rows: DataFrame) -> DataFrame:
+        prev = F.lag(v).over(here)
+        return rows.withColumn("__c", (prev.isNotNull() & ~prev["v"].eqNullSafe(F.col(value))).cast("long"))
+
+    scanned = changes(data).withColumn("__in", F.sum("__c").over(here.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = changes(data.select(*group, _BLK, order, value)).groupBy(*group, _BLK).agg(
+        F.min_by(v, order).alias("head"), F.max_by(v, order).alias("tail"), F.sum("__c").alias("inner"))
+    by_block = Window.partitionBy(*group).orderBy(_BLK)
+    before = F.lag("tail").over(by_block)
+    entered = blocks.withColumn("step", (before.isNotNull() & ~before["v"].eqNullSafe(F.col("head.v"))).cast("long"))
+    base = entered.select(*group, _BLK, (
+        F.sum("step").over(by_block.rowsBetween(Window.unboundedPreceding, 0))
+        + F.coalesce(F.sum("inner").over(by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__base"))
+    return _untag(scanned.join(base.filter(F.col("__base") != 0), [*group, _BLK], "left")
+                  .withColumn(out, F.col("__in") + F.coalesce("__base", F.lit(0)))
+                  .drop("__c", "__in", "__base"), df)
+
+
 def join_in_order(pieces: Column, sep: str) -> Column:
     """Join the ``t`` fields of an array of structs, sorted by the fields before."""
     return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["t"]), sep)

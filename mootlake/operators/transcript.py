@@ -28,9 +28,7 @@ def _local_runs(segments: DataFrame) -> DataFrame:
     Runs are found block-wise, so a meeting of any length is spread over tasks;
     texts are joined inside a block first.
     """
-    marked = scan.with_previous(_segments(segments), KEY, "seg_no", ["speaker"], "prev")
-    changed = F.col("prev").isNotNull() & ~F.col("speaker").eqNullSafe(F.col("prev.speaker"))
-    runs = scan.running_total(marked, KEY, "seg_no", changed.cast("int"), "run", inclusive=True)
+    runs = scan.run_numbers(_segments(segments), KEY, "seg_no", "speaker", "run")
     piece = runs.groupBy("meeting_id", "run", "__blk").agg(
         F.min("seg_no").alias("first_seg"), F.min_by("start_s", "seg_no").alias("start_s"),
         F.max_by("end_s", "seg_no").alias("end_s"), F.max("seg_no").alias("last_seg"),
