@@ -47,7 +47,7 @@ def test_text_rules(spark):
         '{"a":1}', "plain", "z"]
     assert column(spark, ["---\na: 1\n---\nbody", "---\nopen", "text"], text.strip_leading_front_matter) == [
         "body", "---\nopen", "text"]
-    assert column(spark, ['"Итог."\nmore', "", "x" * 130], text.clean_title) == ["Итог.", "Совещание", "x" * 120 + "…"]
+    assert column(spark, ['"Итог."\nmore', "", "x" * 130], text.clean_title) == ["Итог", "Совещание", "x" * 120 + "…"]
     assert column(spark, ["a_speakers.txt", "b_anonymized_speakers.txt", "c.mp3", "_speakers.txt"], text.meeting_stem) == [
         "a", "b", "c", "transcript"]
 
