@@ -37,7 +37,8 @@ FROM {orders}"""
 
 VIEWS["fx_proposals"] = """
 SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING),
-                 CAST(l_suppkey AS STRING)) AS id,
+                 CAST(l_suppkey AS STRING), CAST(CAST(l_quantity AS BIGINT) AS STRING),
+                 CAST(CAST(l_shipdate AS DATE) AS STRING)) AS id,
        l_orderkey * 10 + l_linenumber AS seq, l_orderkey AS meeting_id, CAST(l_linenumber AS BIGINT) AS idx,
        CASE WHEN l_quantity > 20 THEN 'task' ELSE 'minor' END AS kind,
        CASE WHEN l_suppkey % 9 = 0 THEN NULL WHEN l_suppkey % 5 = 0
@@ -176,14 +177,14 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
 
 # Two runs of the extractor over one review queue, split by ship date.
 VIEWS["fx_old_actions"] = """
-SELECT l_orderkey AS meeting_id, CAST(l_linenumber AS BIGINT) AS idx, l_partkey AS part_no, l_suppkey AS supp_no, p_name AS task,
+SELECT l_orderkey AS meeting_id, CAST(l_linenumber AS BIGINT) AS idx, l_partkey AS part_no, l_suppkey AS supp_no, l_quantity AS qty, p_name AS task,
        CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE concat('owner ', CAST(l_suppkey % 10 AS STRING)) END AS owner,
        CASE WHEN l_quantity > 20 THEN 'High' ELSE 'low' END AS confidence,
        CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'accepted' ELSE 'proposed' END AS status
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey WHERE CAST(l_shipdate AS DATE) < DATE '2000-01-01'"""
 
 VIEWS["fx_new_actions"] = """
-SELECT l_orderkey AS meeting_id, CAST(l_linenumber AS BIGINT) AS idx, l_partkey AS part_no, l_suppkey AS supp_no,
+SELECT l_orderkey AS meeting_id, CAST(l_linenumber AS BIGINT) AS idx, l_partkey AS part_no, l_suppkey AS supp_no, l_quantity AS qty,
        CASE WHEN l_partkey % 10 = 0 THEN '  ' WHEN l_partkey % 10 = 1 THEN upper(p_name) ELSE p_name END AS task,
        CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE concat('person ', CAST(l_suppkey % 10 AS STRING)) END AS owner,
        CASE WHEN l_quantity > 25 THEN 'high' ELSE 'medium' END AS confidence

@@ -244,7 +244,7 @@ def upsert_meetings(x):
 def first_fields(src: str, status: str) -> str:
     return f"""SELECT * FROM (SELECT meeting_id, {SRC.format('task')} AS src_key, idx, trim(task) AS text, nullif(owner, '') AS owner, lower(confidence) AS confidence,
   CASE WHEN owner <> '' AND lower(confidence) = 'high' THEN 'task' ELSE 'minor' END AS kind{status},
-  row_number() OVER (PARTITION BY meeting_id, {SRC.format('task')} ORDER BY idx, part_no, supp_no) AS rn FROM {src} WHERE trim(task) <> '') z WHERE rn = 1"""
+  row_number() OVER (PARTITION BY meeting_id, {SRC.format('task')} ORDER BY idx, part_no, supp_no, qty) AS rn FROM {src} WHERE trim(task) <> '') z WHERE rn = 1"""
 
 
 SYNC = f"""
@@ -262,7 +262,7 @@ FROM r WHERE outcome <> 'deleted'"""
 
 
 def review_fields(actions):
-    return state.keep_first(state.action_fields(actions.withColumn("tie", F.struct("part_no", "supp_no")))).drop("quote", "source_deadline")
+    return state.keep_first(state.action_fields(actions.withColumn("tie", F.struct("part_no", "supp_no", "qty")))).drop("quote", "source_deadline")
 
 
 @query("sync_proposals", SYNC)
