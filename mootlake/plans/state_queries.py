@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..functions.text import source_key
+from ..functions.text import slugify, source_key
 from ..operators import archive, people, pii, state, transcript
 from ..session import stage_table
 from .fixtures import EVENTS_AS_OF, VIEWS
@@ -464,7 +464,6 @@ def by_keyword(x):
 WITH s AS (SELECT doc_id, regexp_replace(trim(trim(regexp_replace(substring(text, 1, 120), '[<>:"/\\\\|?*\\x00-\\x1f]', '-', 'g')), '.'), '\\s+', ' ', 'g') AS n FROM documents)
 SELECT doc_id, coalesce(nullif(CASE WHEN length(n) > 80 THEN rtrim(substring(n, 1, 80)) ELSE n END, ''), 'meeting') AS slug FROM s""")
 def slugify_names(x):
-    from ..functions.text import slugify
     return x["documents"].select("doc_id", slugify(F.substring("text", 1, 120)).alias("slug"))
 
 

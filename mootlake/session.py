@@ -7,7 +7,6 @@ shared file system, so a lost executor costs a re-read and not a re-run.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -73,7 +72,3 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
-
-def local_files_uri(path: str) -> str:
-    """Absolute paths for files a test wrote itself."""
-    return path if "://" in path else os.path.abspath(path)
