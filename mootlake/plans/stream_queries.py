@@ -35,7 +35,7 @@ def src_segments_json(x):
         lambda e: e["s"]).alias("segments"))
     root = scratch_path(x.spark, "segments")
     files.write_partitioned(doc, root, ["meeting_id", "part"], "json")
-    read = files.read_segment_documents(x.spark, root)
+    read = files.read_segment_documents(x.spark, root, whole_files=False)
     key = lambda name: F.regexp_extract("doc", name + r"=(\d+)", 1).cast("long")
     return read.select(key("meeting_id").alias("meeting_id"), (key("part") * 4096 + F.col("seg_no")).alias("seg_no"),
                        "start_s", "end_s", "speaker", "text")
@@ -53,7 +53,7 @@ def archive_scan(x):
     root = scratch_path(x.spark, "archive")
     meta.select("stem", "title", "date", F.col("c").alias("cat"), F.col("s").alias("sub"), "area").write.partitionBy(
         "cat", "sub", "area").json(root)
-    found = files.scan_archive(x.spark, root, "*.json")
+    found = files.scan_archive(x.spark, root, "*.json", whole_files=False)
     return found.select("stem", "title", "date", "category", "subcategory")
 
 

@@ -33,12 +33,13 @@ def plain_folder(part: Column) -> Column:
     return F.regexp_replace(part, r"^\w+=", "")
 
 
-def read_segment_documents(spark: SparkSession, root: str) -> DataFrame:
-    """One row per segment of every document below ``root``.
+def read_segment_documents(spark: SparkSession, root: str, whole_files: bool = True) -> DataFrame:
+    """One row per segment of every document below ``root``, one document per file
+    (or per line).
 
     ``doc`` is the path of the document, ``seg_no`` counts from 1 inside it.
     """
-    docs = (spark.read.schema(SEGMENT_DOC).option("recursiveFileLookup", True).json(root)
+    docs = (spark.read.schema(SEGMENT_DOC).option("recursiveFileLookup", True).json(root, multiLine=whole_files)
             .select(relative_path(root).alias("doc"), "segments"))
     return docs.select("doc", F.posexplode("segments").alias("pos", "s")).select(
         "doc", (F.col("pos") + 1).cast("long").alias("seg_no"), F.col("s.start").alias("start_s"),
@@ -46,14 +47,16 @@ def read_segment_documents(spark: SparkSession, root: str) -> DataFrame:
         F.col("s.words").alias("words"))
 
 
-def scan_archive(spark: SparkSession, root: str, pattern: str = "*_meta.json") -> DataFrame:
+def scan_archive(spark: SparkSession, root: str, pattern: str = "*_meta.json", whole_files: bool = True) -> DataFrame:
     """Meta documents of the archive; folders name category and subcategory.
 
-    Broken documents and the skipped folders are left out, as in a listing.
+    One document per file, or per line with ``whole_files=False``.  Broken
+    documents and the skipped folders are left out, as in a listing.
     """
-    meta = (spark.read.schema(META).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-            .option("columnNameOfCorruptRecord", "_broken").json(root)
-            .select("*", relative_path(root).alias("path")))
+    text = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+            .text(root, wholetext=whole_files).select("value", relative_path(root).alias("path")))
+    meta = text.select("path", F.from_json("value", META, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("m")).select("path", "m.*")
     parts = F.transform(F.split("path", "/"), plain_folder)
     top, sub = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     listed = meta.filter(F.col("_broken").isNull() & ~top.isin(SKIPPED_ROOTS) & ~F.array_contains(parts, "intermediate"))
