@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_owner, filled, fold_yo, is_speaker_label, owner_base, stem_ru, strip
-from . import scan
 
 STEM_SLACK = 3      # inflected stems may differ by this many letters
 SHORTEST_STEM = 3
@@ -62,8 +61,8 @@ def match_registry(words: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def resolve_owners(raw_owners: DataFrame, people: DataFrame) -> DataFrame:
-    """(raw, owner, matched, size) for every distinct raw owner."""
-    seen = raw_owners.groupBy("raw").agg(F.count(F.lit(1)).alias("size")).filter(F.col("raw").isNotNull())
+    """(raw, owner, matched) for every distinct raw owner."""
+    seen = raw_owners.select("raw").filter(F.col("raw").isNotNull()).distinct()
     clean = seen.withColumn("clean", clean_owner(F.col("raw"))).withColumn("label", is_speaker_label(F.col("clean")))
     base = owner_base(F.col("clean"))
     tries = F.array(F.struct(F.lit(0).alias("attempt"), base.alias("word")),
@@ -72,17 +71,18 @@ def resolve_owners(raw_owners: DataFrame, people: DataFrame) -> DataFrame:
              .select("raw", F.explode(tries).alias("t")).select("raw", "t.attempt", "t.word").filter(F.col("word").isNotNull()))
     hits = match_registry(words, people)
     return clean.join(hits, "raw", "left").select(
-        "raw", F.coalesce("person", "clean").alias("owner"), F.col("person").isNotNull().alias("matched"), "size")
+        "raw", F.coalesce("person", "clean").alias("owner"), F.col("person").isNotNull().alias("matched"))
 
 
 def normalize_owner(rows: DataFrame, people: DataFrame) -> DataFrame:
-    """Rows with ``raw`` get ``owner`` and ``matched``; each spelling is resolved once."""
+    """Rows with ``raw`` get ``owner`` and ``matched``; each spelling is resolved once.
+
+    The resolved spellings are unique per key: a short list is broadcast by the
+    planner at run time, for a long one AQE splits the rows of a frequent name.
+    """
     known = resolve_owners(rows, people)
-    unknown = rows.filter(F.col("raw").isNull()).select(
-        *rows.columns, F.lit(None).cast("string").alias("owner"), F.lit(False).alias("matched"))
-    n_rows = rows.count()
-    return scan.join_unique(rows.filter(F.col("raw").isNotNull()), known, ["raw"], n_rows).select(
-        *unknown.columns).unionByName(unknown)
+    return rows.join(known, "raw", "left").select(
+        *rows.columns, "owner", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
 def match_members(owners: DataFrame, members: DataFrame) -> DataFrame:
