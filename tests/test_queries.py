@@ -4,6 +4,7 @@ import pytest
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry
+from mootlake.plans import CHECKS, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,10 +19,10 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ok, message = compare(spark, con, SF, entry.queries()[name], entry.oracle_sql()[name])
+    ok, message = compare(spark, con, SF, QUERIES[name], CHECKS[name])
     assert ok, message
