@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, winnow
+from . import mixing, secrets, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_winnowing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
