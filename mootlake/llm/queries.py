@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, secrets, winnow
+from . import langid, mixing, secrets, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -72,3 +73,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_secret_scan")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.remainder("doc_id", 4) == 2
+    field = langid.train(langid.sample(docs.where(~held_out)))
+    return langid.identify(docs.select("doc_id", "text"), field, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
