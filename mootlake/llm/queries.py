@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets, winnow
+from . import langid, mixing, secrets, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -82,3 +82,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = langid.train(langid.sample(docs.where(~held_out)))
     return langid.identify(docs.select("doc_id", "text"), field, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = langid.remainder("doc_id", 5) == 0
+    model = toxicity.train(toxicity.sample(docs, labels.where(~held_out)))
+    return toxicity.score(docs.select("doc_id", "text"), model, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
