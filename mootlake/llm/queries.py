@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, secrets, toxicity, winnow
+from . import chat, langid, mixing, ngram_join, secrets, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -100,3 +100,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)],
                                   "conv_id bigint, turn bigint, role string, text string")
     return chat.read_back(chat.format_conversations(given.unionByName(extra)))
+
+
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
