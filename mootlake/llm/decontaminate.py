@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .wordhash import mix
 
 WORD = re.compile(r"[^\W_]+")
-SAMPLED, REPEATS, STARTS = 3, 16, 8
+SAMPLED, REPEATS, STARTS = 3, 6, 6
 EDITS = 0.2
 SLACK = 0.25
 BLOCK = 20_000
@@ -148,9 +148,14 @@ def best_stretch(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.
 def scan_batch(items: Items, texts: list[str | None]) -> list[tuple]:
     """(text number, item number, distance, first word, last word exclusive), best per text and item."""
     get = items.number.get
-    lists = [[get(w, 0) for w in tokens(t)] + [0] for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    symbols = np.fromiter((w for x in lists for w in x), np.uint64, int(sizes.sum()))
+    flat: list[int] = []
+    sizes = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        before = len(flat)
+        flat += [get(w, 0) for w in tokens(text)]
+        flat.append(0)
+        sizes[i] = len(flat) - before
+    symbols = np.array(flat, np.int64).view(np.uint64)
     ends = np.cumsum(sizes) - 1
     begin = ends - sizes + 1
     doc = np.repeat(np.arange(len(texts)), sizes)

@@ -232,12 +232,13 @@ def word_labels(field: Field, text: str) -> list[tuple[str, str, float]]:
     return [(w, field.labels[i], float(q)) for w, i, q in zip(found, p.argmax(1), p.max(1), strict=True)]
 
 
-def identify(docs: DataFrame, field: Field | None, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (default all) and lang_pred, score."""
+def identify(docs: DataFrame, field: Field | None, keep: list[str] | None = None,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (default all) and the prediction; columns of ``docs`` with its names are left out."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    keep = docs.columns if keep is None else keep
-    shape = StructType([docs.schema[c] for c in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    shape = StructType([docs.schema[c] for c in keep] + [StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator) -> Iterator:
@@ -246,12 +247,20 @@ def identify(docs: DataFrame, field: Field | None, keep: list[str] | None = None
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                names, scores = predict_batch(shared.value, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores)],
-                                                 names=[*keep, "lang_pred", "score"])
+                langs, scores = predict_batch(shared.value, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(scores)],
+                                                 names=[*keep, *names])
 
-    columns = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*columns).mapInArrow(run, shape)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, shape)
+
+
+def known(docs: DataFrame, field: Field | None, least: float) -> DataFrame:
+    """``docs`` whose language is recognised with a score of at least ``least``; all of them if nothing could be learned."""
+    if field is None:
+        return docs
+    names = ("_lang_pred", "_lang_score")
+    rows = identify(docs, field, names=names)
+    return rows.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)
 
 
 def remainder(column: str, m: int) -> Column:

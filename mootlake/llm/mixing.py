@@ -12,7 +12,7 @@ its boundary document of its target.  Extra input columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, attach, stage_table
@@ -24,13 +24,17 @@ BUCKET_BITS = 10
 KEY_BITS = 52
 
 
+def _keys() -> list[Column]:
+    """Source key (null last), size in words and hash key of a document."""
+    return [F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("src"),
+            F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long").alias("size"),
+            F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10)
+            .cast("long").alias("key")]
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source key (null last), size in words, hash key; no texts."""
-    return docs.select(
-        "doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("src"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{SPACE}]+")).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10)
-        .cast("long").alias("key"))
+    return docs.select("doc_id", *_keys())
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = MAX_REPEAT) -> DataFrame:
@@ -50,7 +54,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
               .withColumn("all_weight", F.sum("weight").over(everything))
               .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
                           / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     target = F.least("cap", F.col("water") * F.col("weight"))
     return (ranked.withColumn("water", level).withColumn("target", F.coalesce(target, F.col("cap")))
             .withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -86,13 +90,28 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
             .agg(F.coalesce(fits, F.shiftleft(F.first("b2"), second) - 1).alias("cut")))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of ``docs`` (doc_id, text, source)."""
-    sizes = stage_table(sized(docs), "mix-sizes")
+def plan(sizes: DataFrame) -> DataFrame:
+    """Written table with one row per source: source_size, target, copies, cut."""
     targets = stage_table(source_targets(sizes), "mix-targets")
     cuts = stage_table(thresholds(sizes, targets), "mix-cuts")
-    plan = stage_table(targets.join(cuts, "src", "left"), "mix-plan")
+    return stage_table(targets.drop("wanted").join(cuts, "src", "left"), "mix-plan")
+
+
+def _taken(rows: DataFrame, made: DataFrame) -> DataFrame:
     copies = F.col("copies") + F.when(F.col("key") <= F.col("cut"), 1).otherwise(0)
-    return (attach(sizes, plan, "src", F.col("key"))
-            .select("doc_id", "key", "size", "source_size", "target", copies.cast("long").alias("copies"),
-                    (F.col("size") * copies).cast("long").alias("taken")))
+    return (attach(rows, made, "src", F.col("key")).withColumn("copies", copies.cast("long"))
+            .withColumn("taken", F.col("size") * F.col("copies")))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken for every row of ``docs`` (doc_id, text, source)."""
+    sizes = stage_table(sized(docs), "mix-sizes")
+    return _taken(sizes, plan(sizes)).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix with all columns, ``mix_copies`` (how often each is taken) and ``mix_words``."""
+    made = plan(stage_table(sized(docs), "mix-sizes"))
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("mix_copies", "mix_words")]).alias("row"), *_keys())
+    return (_taken(rows, made).where("copies > 0")
+            .select("row.*", F.col("copies").alias("mix_copies"), F.col("taken").alias("mix_words")))

@@ -450,3 +450,20 @@ def joined(docs: DataFrame) -> DataFrame:
     named_nodes = stage_table(rooted.join(least, "root").select("node", "component_id"), "join-components")
     return attach(rows, named_nodes, "node", F.xxhash64("doc_id", "text_key")).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, that of the least id; repeated rows of one id stay once.
+
+    Only ids that occur more than once need a second step, and only their rows move in it.
+    """
+    groups = stage_table(joined(docs), "join-groups")
+    kept = docs.join(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(),
+                     "doc_id", "left_semi")
+    unnamed = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    twice = stage_table(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "join-twice")
+    if twice.take(1):
+        kept = (kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
+                .unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)))
+    alone = groups.where("doc_id IS NULL AND component_id IS NULL").take(1)
+    return kept.unionByName(unnamed) if alone else kept

@@ -44,7 +44,7 @@ levels AS (
   FROM ranked WINDOW b AS (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 filled AS (
   SELECT src, source_size,
-         coalesce(least(cap, min(CASE WHEN level <= ratio THEN level END) OVER () * weight), cap) AS target
+         coalesce(least(cap, max(CASE WHEN level <= ratio THEN level END) OVER () * weight), cap) AS target
   FROM levels),
 targets AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM filled),
@@ -110,3 +110,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontaminate")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
