@@ -30,13 +30,14 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{SPACE}]+"))
 
 
-def attach(rows: DataFrame, summary: DataFrame, key: str, salt: Column, how: str = "left") -> DataFrame:
+def attach(rows: DataFrame, summary: DataFrame, key: str, salt: Column, how: str = "left",
+           small_rows: int = SMALL_ROWS) -> DataFrame:
     """Join ``rows`` with a summary table that has one row per ``key``.
 
-    The summary is a written table, so counting it is cheap.  Up to ``SMALL_ROWS`` rows it is broadcast; beyond, both
+    The summary is a written table, so counting it is cheap.  Up to ``small_rows`` rows it is broadcast; beyond, both
     sides are dealt by key and salt, so a key that holds a third of all rows meets its summary row in many tasks.
     """
-    if summary.count() <= SMALL_ROWS:
+    if summary.count() <= small_rows:
         return rows.join(F.broadcast(summary), key, how)
     salted = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")

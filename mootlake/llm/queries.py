@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, mixing, ngram_join, secrets, toxicity, winnow
+from . import chat, decontaminate, html, langid, mixing, ngram_join, secrets, toxicity, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -60,6 +60,11 @@ SELECT doc_id, size, source_size, target,
 FROM sized JOIN targets USING (src) LEFT JOIN cuts USING (src)"""
 
 
+@query("op1_html_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op5_mix_sources", MIX_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
