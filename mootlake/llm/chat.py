@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 # The template.
 TURN, AFTER_ROLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 LEARNED_ROLE = "assistant"
@@ -84,24 +86,13 @@ def assemble(roles, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return buffer, np.r_[starts[:, 0], len(buffer)], starts[:, 3], ends[:, 3]
 
 
-def _slices(batch, limit: int) -> Iterator:
-    """The batch in slices whose texts stay below ``limit`` bytes, except for single longer texts."""
-    sizes = np.cumsum(_bytes_of(batch.column("text"))[2])
-    start = 0
-    while start < batch.num_rows:
-        done = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, done + limit, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def _parts(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import pyarrow.compute as pc
 
     last, part = object(), 0
     for whole in batches:
-        for batch in _slices(whole, BATCH_BYTES):
+        for batch in slices(whole, BATCH_BYTES):
             keys = batch.column("conv_id").to_pylist()
             buffer, starts, text_start, text_end = assemble(batch.column("role"), batch.column("text"))
             learned = np.asarray(pc.equal(batch.column("role"), LEARNED_ROLE).to_numpy(zero_copy_only=False), bool)

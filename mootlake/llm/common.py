@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
 
-__all__ = ["SPACE", "ascii_lower", "attach", "edge_words", "stage_table", "words"]
+__all__ = ["SPACE", "ascii_lower", "attach", "slices", "stage_table", "words"]
 
 # The white space that separates words in every contract of this package.
 SPACE = r"\x20\x09-\x0D"
@@ -41,3 +43,17 @@ def attach(rows: DataFrame, summary: DataFrame, key: str, salt: Column, how: str
         return rows.join(F.broadcast(summary), key, how)
     salted = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+
+
+def slices(batch, limit: int) -> Iterator:
+    """An Arrow batch in slices whose texts stay below ``limit`` bytes, except for single longer texts."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

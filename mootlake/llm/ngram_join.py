@@ -7,13 +7,14 @@ into first-level parts of ``N2`` second-level parts each, and the subsets of ``N
 most ``k`` subsets of a similar pair differ, so among the first ``k + 1`` subsets that are not empty in one set, one is the
 same in the other; a set emits only these.  A set with too few of them goes on:
 
-1. rare features only, a coarse partition: done with ``k + 1`` subsets that are not empty;
-2. else the same with a finer partition;
-3. else all features; if these do not do either, empty subsets are emitted too.
+1. rare features only: done with ``k + 1`` subsets that are not empty;
+2. else each of its rare features alone: found is every pair of such sets that shares one;
+3. and, if it has at most ``k`` rare features, subsets of all features, empty ones too if need be: a similar pair without a
+   common rare feature differs at least in all rare ones of both, so pairs with more rare features than that are passed over.
 
-Of two sets, the one that is done first, in level and place, guarantees the common signature, so no pair is lost, whatever
-counts as rare.  Rare is what a fixed-size filter of frequent features does not
-hold; the filter is filled from the shingle counts of one set in ``SAMPLE`` and only steers the work.
+If either set is done at the first level, it guarantees the common signature; else the other two levels do.  So no pair is
+lost, whatever counts as rare.  Rare is what a fixed-size filter of frequent features does not
+hold; the filter is filled from the shingle counts of one distinct text in ``SAMPLE`` and only steers the work.
 
 Candidates are stars: in each batch, then in each bucket of signatures, every set is paired with the least set of its
 signature.  Stars are verified exactly, components are merged, and at the end sets that still share a signature across
@@ -32,19 +33,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, attach, stage_table
+from .common import SMALL_ROWS, attach, slices, stage_table
 from .wordhash import mix
 
 SHINGLE = 5
 THRESHOLD = (3, 4)  # numerator and denominator
 N2, K2 = 2, 1
 BAND = 1.5
-COARSE, FINE = 0.75, 2.0  # subsets per least size of a band
+SUBSETS = 0.75  # per least size of a band
 FILTER_BITS = 24
 SAMPLE = 8
 FREQUENT = 6  # times in the sample
 ENTRIES_PER_BUCKET = 1 << 17
-BATCH_DOCS = 4096
+BATCH_BYTES = 2 << 20
+PARITIES = 1024
+FOLDED = ("odd0", "odd1", "odd2", "odd3")
 NODE_MASK = (1 << 48) - 1
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -97,28 +100,39 @@ def node_names(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _batches(batches: Iterator, columns: list[str]) -> Iterator:
-    """Slices of at most BATCH_DOCS texts: the other columns, the sets, their sizes and names."""
+    """Slices of about BATCH_BYTES of text: the other columns, the sets, their sizes and names."""
     import pyarrow as pa
 
     for whole in batches:
-        for i in range(0, whole.num_rows, BATCH_DOCS):
-            part = whole.slice(i, BATCH_DOCS)
+        for part in slices(whole, BATCH_BYTES):
             flat, counts = shingle_sets(part.column("text").cast(pa.binary()).to_pylist())
             yield [part.column(c) for c in columns], flat, counts, node_names(flat, counts)
 
 
+def parities(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """PARITIES bits per set: whether a bucket of the feature domain holds an odd number of its features.  Sets differ in at
+    least as many features as bits."""
+    place = mix(flat + _B)
+    at = np.repeat(np.arange(len(counts)), counts) * PARITIES + (place % np.uint64(PARITIES)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(counts) * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(counts), -1), axis=1).view(np.int64)
+
+
 def named(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node, n for every row."""
+    """doc_id, text_key, node, n, odd (parities) for every row."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for own, _, counts, names in _batches(batches, ["doc_id", "text_key"]):
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names.view(np.int64)), pa.array(counts)],
-                                             names=["doc_id", "text_key", "node", "n"])
+        for own, flat, counts, names in _batches(batches, ["doc_id", "text_key"]):
+            odd = parities(flat, counts)
+            places = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * odd.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(names.view(np.int64)), pa.array(counts), pa.ListArray.from_arrays(places, pa.array(odd.ravel()))],
+                names=["doc_id", "text_key", "node", "n", "odd"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     return (docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-            .mapInArrow(run, f"doc_id {key}, text_key bigint, node bigint, n bigint"))
+            .mapInArrow(run, f"doc_id {key}, text_key bigint, node bigint, n bigint, odd array<bigint>"))
 
 
 # ---------------------------------------------------------------- frequent features
@@ -132,11 +146,11 @@ def frequent_filter(docs: DataFrame) -> np.ndarray:
             _, first = np.unique(names, return_index=True)
             chosen = np.zeros(len(names), bool)
             chosen[first] = True
-            chosen &= names % np.uint64(SAMPLE) == 0
             own = flat[np.repeat(chosen, counts)]
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["f"])
 
-    sampled = docs.select("text").mapInArrow(run, "f bigint").groupBy("f").count().where(F.col("count") >= FREQUENT)
+    part = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    sampled = part.mapInArrow(run, "f bigint").groupBy("f").count().where(F.col("count") >= FREQUENT)
     cells = sampled.select("f").mapInArrow(_cells, "cell bigint, bit bigint")
     rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
@@ -193,53 +207,63 @@ def _cells_of(flat: np.ndarray, doc: np.ndarray, cells: np.ndarray, seed: int) -
     return sums, count
 
 
-def signatures(flat: np.ndarray, counts: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sets laid end to end, and the set of each signature."""
-    sigs, owners = [], []
+def signatures(flat: np.ndarray, counts: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets laid end to end, the set of each, and for those of level 3 its rare features, else 0."""
+    none = np.zeros(0, np.int64)
     if not len(counts) or not counts.max():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none
+    sigs, owners, limits = [], [], []
     begin = np.cumsum(counts) - counts
+    owner_of = np.repeat(np.arange(len(counts)), counts)
+    rares = np.bincount(owner_of[rare], minlength=len(counts))
+    alone = np.zeros(len(counts), bool)
+
+    def emit(keys: np.ndarray, owner: np.ndarray, limit: np.ndarray) -> None:
+        sigs.append(keys)
+        owners.append(owner)
+        limits.append(limit)
+
     for number, (least, greatest, k) in enumerate(bands(int(counts.max()))):
         todo = np.flatnonzero((counts >= least) & (counts <= greatest))
-        for level, share in enumerate((COARSE, FINE, COARSE)):
+        # First-level parts of N2 halves; subsets of N2 - K2 = 1 half, so subsets are the halves themselves.
+        subsets = -(-max(int(SUBSETS * least) + 2, k + 2) // N2) * N2
+        for level in (1, 3):
             if not len(todo):
                 break
-            # First-level parts of N2 halves; subsets of N2 - K2 = 1 half, so subsets are the halves themselves.
-            parts = -(-max(int(share * least) + 2, k + 2) // N2)
             sizes = counts[todo]
             at = np.repeat(begin[todo] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
             doc = np.repeat(np.arange(len(todo)), sizes)
-            if level < 2:
-                keep = rare[at]
-                at, doc = at[keep], doc[keep]
-            subsets = parts * N2
+            if level == 1:
+                at, doc = at[rare[at]], doc[rare[at]]
             sums, count = _cells_of(flat[at], doc, np.full(len(todo), subsets, np.int64), number * 4 + level)
             table, full = sums.reshape(len(todo), subsets), count.reshape(len(todo), subsets) > 0
-            tag = mix(np.arange(subsets, dtype=np.uint64) + np.uint64((number * 4 + level) << 32))
             enough = full.sum(1) > k
             emitted = full & (np.cumsum(full, axis=1) <= k + 1)
-            if level == 2:
+            if level == 3:
                 emitted |= ~enough[:, None]
+            tag = mix(np.arange(subsets, dtype=np.uint64) + np.uint64((number * 4 + level) << 32))
             who, which = np.nonzero(emitted)
-            sigs.append(mix(table[who, which] * _A + tag[which]))
-            owners.append(todo[who])
-            todo = todo[~enough]
-    return np.concatenate(sigs), np.concatenate(owners)
+            emit(mix(table[who, which] * _A + tag[which]), todo[who], rares[todo[who]] if level == 3 else np.zeros(len(who), np.int64))
+            alone[todo[~enough]] |= level == 1
+            todo = todo[~enough & (rares[todo] <= k)]
+    single = rare & alone[owner_of]
+    emit(mix(flat[single] * _A + _B), owner_of[single], np.zeros(int(single.sum()), np.int64))
+    return np.concatenate(sigs), np.concatenate(owners), np.concatenate(limits)
 
 
-def _runs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, node) pairs in order, and whether each stands first in its key."""
+def _runs(key: np.ndarray, node: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, node) pairs in order with their limits, and whether each stands first in its key."""
     order = np.argsort(key)
-    key, node = key[order], node[order]
+    key, node, limit = key[order], node[order], limit[order]
     same = np.zeros(len(key), bool)
     same[1:] = key[1:] == key[:-1]
     same[:-1] |= same[1:]
     tied = np.lexsort((node[same], key[same]))  # few: keys held by several nodes
-    node[same] = node[same][tied]
+    node[same], limit[same] = node[same][tied], limit[same][tied]
     new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(key) else np.zeros(0, bool)
-    key, node = key[new], node[new]
+    key, node, limit = key[new], node[new], limit[new]
     first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    return key, node, first
+    return key, node, limit, first
 
 
 def _stars(key: np.ndarray, node: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -274,22 +298,31 @@ def _out(kind: int, bucket, x, y, weight, sigs, nodes):
         names=["kind", "bucket", "x", "y", "weight", "sigs", "nodes"])
 
 
-def _emit_stars(key, node, first, buckets: int):
+def _emit_stars(key, node, limit, first, buckets: int):
     """Rows for the stars and shared keys found here; dealt at random, they need no meeting."""
     a, b, weight, shared = _stars(key, node, first)
     if len(a):
         yield _out(_EDGE, (b % np.uint64(buckets)).astype(np.int64), a, b, weight, None, None)
     if shared.any():
-        yield _out(_MEMBER, (node[shared] % np.uint64(buckets)).astype(np.int64), key[shared], node[shared], None, None, None)
+        yield _out(_MEMBER, (node[shared] % np.uint64(buckets)).astype(np.int64), key[shared], node[shared], limit[shared], None, None)
+
+
+def _packed(low: np.ndarray, high: np.ndarray | None) -> np.ndarray:
+    """48 bits in six bytes, with ``high`` in two more."""
+    both = low if high is None else low | high.astype(np.uint64) << np.uint64(48)
+    return both.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6 if high is None else 8]
 
 
-def _pack6(node: np.ndarray) -> np.ndarray:
-    return node.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+def _unpacked(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(raw) // size, 8), np.uint8)
+    wide[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    both = wide.view("<u8").ravel().astype(np.uint64)
+    return both & np.uint64(NODE_MASK), (both >> np.uint64(48)).astype(np.int64)
 
 
 def candidates(docs: DataFrame, frequent: np.ndarray, features: int) -> DataFrame:
     """Written table of stars (kind 1: node, node, common signatures) and members of shared signatures (kind 2: signature,
-    node); nodes are the low 48 bits of their names.
+    node, rare features); nodes are the low 48 bits of their names.
 
     Signatures travel as packed blocks, one per batch and bucket; the number of buckets grows with the data, so a block's
     bucket always holds about ENTRIES_PER_BUCKET signatures.  A signature that many sets of a batch share is sent once.
@@ -305,16 +338,16 @@ def candidates(docs: DataFrame, frequent: np.ndarray, features: int) -> DataFram
             distinct[first] = True
             distinct &= counts >= 3
             flat, names, counts = flat[np.repeat(distinct, counts)], names[distinct], counts[distinct]
-            sigs, owner = signatures(flat, counts, ~is_frequent(flat, shared.value))
+            sigs, owner, limit = signatures(flat, counts, ~is_frequent(flat, shared.value))
             if not len(sigs):
                 continue
-            key, node, first = _runs(sigs & low, names[owner] & low)
-            yield from _emit_stars(key, node, first, buckets)
-            key, node = key[first], node[first]
+            key, node, limit, first = _runs(sigs & low, names[owner] & low, limit)
+            yield from _emit_stars(key, node, limit, first, buckets)
+            key, node, limit = key[first], node[first], np.minimum(limit[first], 0xFFFF)
             bucket = (key >> np.uint64(48 - 24)) * np.uint64(buckets) >> np.uint64(24)
             heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[heads[1:], len(key)]
-            short, packed = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], _pack6(node)
+            short, packed = _packed(key, None), _packed(node, limit)
             yield _out(_BLOCK, bucket[heads].astype(np.int64), None, None, None,
                        [short[i:j].tobytes() for i, j in zip(heads, ends, strict=True)],
                        [packed[i:j].tobytes() for i, j in zip(heads, ends, strict=True)])
@@ -326,20 +359,14 @@ def candidates(docs: DataFrame, frequent: np.ndarray, features: int) -> DataFram
         found = [table.filter(pa.array(kinds != _BLOCK))]
         blocks = table.filter(pa.array(kinds == _BLOCK))
         if blocks.num_rows:
-            key, node = [_unpack6(b"".join(blocks.column(c).to_pylist())) for c in ("sigs", "nodes")]
-            found += [pa.Table.from_batches([x]) for x in _emit_stars(*_runs(key, node), buckets)]
+            (key, _), (node, limit) = [_unpacked(b"".join(blocks.column(c).to_pylist()), n) for c, n in (("sigs", 6), ("nodes", 8))]
+            found += [pa.Table.from_batches([x]) for x in _emit_stars(*_runs(key, node, limit), buckets)]
         return pa.concat_tables([x.select(["kind", "bucket", "x", "y", "weight", "sigs", "nodes"]) for x in found])
 
     rows = docs.select("text").mapInArrow(sign, _KINDS).groupBy("bucket").applyInArrow(meet, _KINDS)
     return stage_table(rows.select("kind", "x", "y", "weight"), "join-candidates")
 
 
-def _unpack6(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel().astype(np.uint64)
-
-
 # ---------------------------------------------------------------- exact verification
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -347,7 +374,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     keys = wanted.select("doc_id", "text_key")
     match = texts["doc_id"].eqNullSafe(keys["doc_id"]) & (texts["text_key"] == keys["text_key"])
-    small = keys.count() <= 4 * SMALL_ROWS
+    small = keys.count() <= SMALL_ROWS
     met = texts.join(F.broadcast(keys) if small else keys, match, "left_semi")
 
     def run(batches: Iterator) -> Iterator:
@@ -367,11 +394,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Written table of the pairs (a, b) whose Jaccard is at least the threshold."""
+    """Written table of the pairs (a, b) whose Jaccard is at least the threshold.
+
+    Sizes and parities rule out most pairs, exactly, before any set is read.
+    """
     p, q = THRESHOLD
-    size = nodes.select("node", "n")
-    fits = (pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-            .where((F.least("na", "nb") * q >= F.greatest("na", "nb") * p)).select("a", "b"))
+    form = nodes.select("node", "n", "odd")
+    differing = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    fits = (pairs.join(form.toDF("a", "na", "odd_a"), "a").join(form.toDF("b", "nb", "odd_b"), "b")
+            .where((F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+                   & (differing * (q + p) <= (F.col("na") + F.col("nb")) * (q - p))).select("a", "b"))
     fits = stage_table(fits, "join-pairs")
     wanted = nodes.join(fits.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     sets = stage_table(sets_of(docs, stage_table(wanted.select("node", "doc_id", "text_key"), "join-wanted")), "join-sets")
@@ -412,13 +444,29 @@ def _rooted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb"))
 
 
+def _alike(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of members of one signature x, in different components, whose sizes, rare features and folded
+    parities allow a link."""
+    p, q = THRESHOLD
+    columns = ("x", "node", "n", "rares", "root", *FOLDED)
+    differing = F.bit_count(F.lit(0))
+    for c in FOLDED:
+        differing = differing + F.bit_count(F.col(f"{c}_l").bitwiseXOR(F.col(f"{c}_r")))
+    left, right = [t.select(*[F.col(c).alias(c if c == "x" else f"{c}_{side}") for c in columns]) for t, side in ((left, "l"), (right, "r"))]
+    return (left.join(right, "x").where("node_l <> node_r AND root_l <> root_r")
+            .where((F.least("n_l", "n_r") * q >= F.greatest("n_l", "n_r") * p)
+                   & (F.greatest(F.col("rares_l") + F.col("rares_r"), differing) * (q + p) <= (F.col("n_l") + F.col("n_r")) * (q - p)))
+            .select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct())
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     rows = stage_table(named(docs), "join-rows")
     seen = F.min(F.struct("doc_id", "text_key")).alias("one")
-    nodes = rows.where("n > 0").groupBy("node").agg(seen, F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    nodes = stage_table(nodes.select("node", "one.doc_id", "one.text_key", "least", "n"), "join-nodes")
+    nodes = rows.where("n > 0").groupBy("node").agg(seen, F.min("doc_id").alias("least"),
+                                                     F.first("n").alias("n"), F.first("odd").alias("odd"))
+    nodes = stage_table(nodes.select("node", "one.doc_id", "one.text_key", "least", "n", "odd"), "join-nodes")
     features = rows.agg(F.sum("n")).first()[0] or 0
     found = candidates(docs, frequent_filter(docs), features)
     short = nodes.select(F.col("node").bitwiseAND(NODE_MASK).alias("short"), "node")
@@ -434,13 +482,36 @@ def joined(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     # Signatures whose members are still in different components.
-    members = (found.where(F.col("kind") == _MEMBER).select("x", F.col("y").alias("short")).distinct().join(short, "short")
-               .join(labels, "node", "left").select("x", "node", F.coalesce("root", "node").alias("root")))
-    open_ = members.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("x")
-    members = stage_table(members.join(open_, "x", "left_semi"), "join-open")
-    left, right = members.toDF("x", "a", "ra"), members.toDF("x", "b", "rb")
-    across = (left.join(right, "x").where("a < b AND ra <> rb").select("a", "b").distinct()
-              .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    # Parities of a coarser partition, four words of bits, travel with the members.
+    folded = []
+    for i in range(len(FOLDED)):
+        word = F.get("odd", F.lit(i))
+        for j in range(i + len(FOLDED), PARITIES // 64, len(FOLDED)):
+            word = word.bitwiseXOR(F.get("odd", F.lit(j)))
+        folded.append(word.alias(FOLDED[i]))
+    short_n = nodes.select(F.col("node").bitwiseAND(NODE_MASK).alias("short"), "node", "n", *folded)
+    members = (found.where(F.col("kind") == _MEMBER).select("x", F.col("y").alias("short"), F.col("weight").alias("rares")).distinct()
+               .join(short_n, "short").join(labels, "node", "left")
+               .select("x", "node", "n", "rares", F.coalesce("root", "node").alias("root"), *FOLDED))
+    # Of signatures with the same members one is enough.
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    lists = members.groupBy("x").agg(*marks, F.count(F.lit(1)).alias("size"), F.max("rares").alias("rares"),
+                                     F.min("root").alias("low"), F.max("root").alias("high"))
+    one = lists.where("low <> high").groupBy("mark1", "mark2", "size", "rares").agg(F.min("x").alias("x")).select("x")
+    members = stage_table(members.join(one, "x", "left_semi"), "join-open")
+
+    # Stars once more, around a centre drawn anew for each signature; then every pair that is still apart.
+    form = F.struct("node", "n", "rares", "root", *FOLDED)
+    centres = members.groupBy("x").agg(F.min_by(form, F.xxhash64("node", "x")).alias("c")).select("x", "c.*")
+    drawn = _alike(centres, members)
+    anew = verified(drawn, docs, nodes)
+    links = links.unionByName(anew)
+    if anew.take(1):
+        labels = components(links)
+        members = members.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).select(
+            "x", "node", "n", "rares", "root", *FOLDED)
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(drawn)
+    across = _alike(members, members).join(tested, ["a", "b"], "left_anti")
     late = verified(across, docs, nodes)
     if late.take(1):
         labels = components(links.unionByName(late))
