@@ -46,10 +46,10 @@ TITLES = {"m": "mr mister herr monsieur señor sr sir", "f": "mrs ms miss frau m
 GENDER_OF_TITLE = {t: g for g, line in TITLES.items() for t in line.split()}
 CLASS_OF_NAME = {n: c for c, line in FIRST_NAMES.items() for n in line.split()}
 
+_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[\w-]*\.)+[A-Za-z]{2,24}(?![\w-])")
 _NUMBERS = re.compile(r"""
- (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[\w-]*\.)+[A-Za-z]{2,24}(?![\w-]))
-|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?!\w))
-|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d))
+ (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?!\w))
+|(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\w]|\.\d))
 |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
 |(?P<card>(?<![\w.+])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d))
 |(?P<phone>(?<![\w.+])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}
@@ -57,7 +57,9 @@ _NUMBERS = re.compile(r"""
 """, re.X)
 _WORD = r"[^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _NAMES = re.compile(rf"(?<!\w)({_WORD})(\.?[ ])({_WORD})(?:([ ])({_WORD}))?")
-_ANY = re.compile(r"[\d@]")
+_BEGIN = re.compile(r"[+(]?[0-9]|[A-Z]{2}[0-9]{2}")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_NAME_WORDS = {w for n in (*CLASS_OF_NAME, *GENDER_OF_TITLE) for w in n.split("-")}
 
 
 # ---------------------------------------------------------------- keyed permutations
@@ -206,6 +208,10 @@ def _family(p: Permuter, part: str) -> str:
         base, first, ending = 26, 97, ""
     elif all("а" <= c <= "я" for c in lower):
         base, first, ending = 32, ord("а"), ""
+    elif all("a" <= c <= "z" or "ß" <= c <= "ÿ" for c in lower):
+        letters = {c: i for i, c in enumerate(map(chr, (*range(97, 123), *range(0xDF, 0x100))))}
+        lower = "".join(chr(letters[c]) for c in lower)
+        base, first, ending = len(letters), 0, "n"
     else:
         base, first, ending = 0x110000, 0, "с" if cyrillic else "s"
     value = 0
@@ -235,9 +241,15 @@ _MAKERS = {"email": _email, "card": _card, "phone": _phone, "ip": _ip, "ssn": _s
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of all entities, in order and apart from each other."""
-    found = [(m.start(), m.end(), m.lastgroup) for m in _NUMBERS.finditer(text)
-             if m.lastgroup != "phone" or 7 <= len(re.sub(r"\D", "", m[0])) <= 15] if _ANY.search(text) else []
-    at = 0
+    found = [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)] if "@" in text else []
+    done = 0
+    for begin in _BEGIN.finditer(text):
+        # Only at places where a number can begin, and behind the last one.
+        if begin.start() >= done and (m := _NUMBERS.match(text, begin.start())):
+            if m.lastgroup != "phone" or 7 <= len(re.sub(r"\D", "", m[0])) <= 15:
+                found.append((m.start(), m.end(), m.lastgroup))
+                done = m.end()
+    at = 0 if not _NAME_WORDS.isdisjoint(_LETTERS.findall(text.lower())) else len(text)
     while m := _NAMES.search(text, at):
         first, second = m[1], m[3]
         if first.lower() in GENDER_OF_TITLE and second[0].isupper():
@@ -268,7 +280,7 @@ def replace(p: Permuter, text: str | None) -> tuple[str | None, list[dict]]:
         pieces += [text[at:start], fresh]
         length += start - at
         entities.append({"type": kind, "start": length, "end": length + len(fresh), "surrogate": fresh,
-                         "mark": hashlib.blake2b(f"{kind}|{value}".encode(), key=p.key[:64], digest_size=12).hexdigest(),
+                         "mark": hashlib.blake2b(f"{kind}|{value.lower()}".encode(), key=p.key[:64], digest_size=12).hexdigest(),
                          "changed": fresh != value})
         length += len(fresh)
         at = end

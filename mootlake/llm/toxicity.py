@@ -164,10 +164,10 @@ def train(rows: pd.DataFrame, balance: float = BALANCE) -> Model | None:
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (default all) and ``score``."""
+    """Columns ``keep`` of ``docs`` (default all) and ``score``, which takes the place of a column of that name."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     shape = StructType([docs.schema[c] for c in keep] + [StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
