@@ -47,8 +47,11 @@ def fold_yo(c: Column) -> Column:
 
 
 def word_set(c: Column) -> Column:
-    """Distinct words of the normalised text; NULL reads as the word 'none'."""
-    words = F.split(normalize(F.coalesce(c, F.lit("none"))), r"(?U)\s+")
+    """Distinct words of the normalised text; NULL, an absent key, has none and repeats nothing.
+
+    A source that tells an explicit JSON null from an absent key hands the former over as the text "None".
+    """
+    words = F.split(normalize(F.coalesce(c, F.lit(""))), r"(?U)\s+")
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
@@ -98,7 +101,7 @@ def word_offset(c: Column, nth: Column) -> Column:
 
 def is_speaker_label(c: Column) -> Column:
     """Voice label rather than a name; a prefix test, NULL counts as no label."""
-    return F.coalesce(c.rlike(fixed.SPEAKER_LABEL), F.lit(False))
+    return F.coalesce(strip(c).rlike(fixed.SPEAKER_LABEL), F.lit(False))
 
 
 def is_valid_name(c: Column) -> Column:

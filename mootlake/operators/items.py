@@ -140,10 +140,12 @@ def orphan_stats(actions: DataFrame) -> DataFrame:
 
 
 def meeting_type_vote(decoded: DataFrame) -> DataFrame:
-    """Majority of the chunk votes; a tie goes to the type that was named first."""
-    votes = decoded.withColumn("vote", F.lower(strip("meeting_type"))).filter(filled(F.col("meeting_type")).isNotNull())
+    """Majority of the chunk votes; a tie goes to the type named first, a meeting without votes gets the default label."""
+    given = filled(F.col("meeting_type")).isNotNull()
+    votes = decoded.withColumn("vote", F.when(given, F.lower(strip("meeting_type"))))
     counted = votes.groupBy("meeting_id", "vote").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("first"))
-    best = counted.groupBy("meeting_id").agg(F.min_by("vote", F.struct(-F.col("n"), "first")).alias("meeting_type"))
+    best = counted.groupBy("meeting_id").agg(
+        F.min_by("vote", F.struct(F.col("vote").isNull(), -F.col("n"), "first")).alias("meeting_type"))
     labels = F.create_map(*[F.lit(x) for x in chain(*fixed.MEETING_TYPES.items())])
     return best.withColumn("label", F.coalesce(
         F.try_element_at(labels, F.col("meeting_type")), F.lit(fixed.MEETING_TYPES["other"])))
@@ -220,7 +222,7 @@ def trim_minimal(items: DataFrame) -> DataFrame:
 
     Actions with an owner or a deadline; a meeting without any keeps its first five.
     """
-    top = _ranked(items, {"decisions": 3, "risks": 3, "blockers": 2})
+    top = _ranked(items, {"decisions": 3, "risks": 3, "blockers": 2, "meta_observations": COMPACT["meta_observations"]})
     none = F.lit(None).cast("long")
     actions = items.filter(F.col("kind") == "action_items")
     concrete = actions.filter(is_concrete()).withColumn("rank", none)

@@ -80,11 +80,18 @@ def sync_proposals(old: DataFrame, batch: DataFrame, touched: DataFrame) -> Data
         *[F.when(take_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in fields], "outcome")
 
 
-def assign_speakers(proposals: DataFrame, speaker_map: DataFrame) -> DataFrame:
-    """Voice labels become people in rows that were not sent or rejected."""
-    names = speaker_map.select("meeting_id", F.col("speaker_label").alias("owner"), "person")
+def latest_names(speaker_map: DataFrame, order: str | None = None) -> DataFrame:
+    """meeting_id, speaker_label, person: of several assignments of a label the one with the greatest ``order`` wins."""
+    by = F.struct(*([order] if order else []), "person")
+    return speaker_map.groupBy("meeting_id", "speaker_label").agg(F.max_by("person", by).alias("person"))
+
+
+def assign_speakers(proposals: DataFrame, speaker_map: DataFrame, order: str | None = None) -> DataFrame:
+    """Voice labels become people in rows that were not sent or rejected; a row matched before stays matched."""
+    names = latest_names(speaker_map, order).withColumnRenamed("speaker_label", "owner")
     hit = F.col("person").isNotNull() & F.col("status").isin("proposed", "accepted")
-    return proposals.join(names, ["meeting_id", "owner"], "left").withColumn("owner_matched", hit).withColumn(
+    before = F.coalesce("owner_matched", F.lit(False)) if "owner_matched" in proposals.columns else F.lit(False)
+    return proposals.join(names, ["meeting_id", "owner"], "left").withColumn("owner_matched", before | hit).withColumn(
         "owner", F.when(hit, F.col("person")).otherwise(F.col("owner"))).drop("person")
 
 
@@ -148,11 +155,13 @@ def due_v1_audit(history: DataFrame) -> DataFrame:
 
 def card_text(proposals: DataFrame, meetings: DataFrame) -> DataFrame:
     """Description of the board card of each proposal."""
-    about = meetings.select(F.col("id").alias("meeting_id"), "title", "date")
+    title = filled(F.col("title"))
+    about = meetings.select(F.col("id").alias("meeting_id"), (F.coalesce(title, "stem") if "stem" in meetings.columns else title)
+                            .alias("title"), "date")
     where = F.concat(F.lit("Из планёрки: "), F.regexp_replace(F.concat(
-        "title", F.lit(" · "), F.coalesce(F.col("date").cast("string"), F.lit(""))), r"[ ·]+$", ""),
+        F.coalesce("title", F.lit("")), F.lit(" · "), F.coalesce(F.col("date").cast("string"), F.lit(""))), r"[ ·]+$", ""),
         F.when(F.col("t_sec").isNotNull(), F.concat(F.lit(" · таймкод "), timecode(F.col("t_sec")))).otherwise(""))
-    return proposals.join(about, "meeting_id").select("id", F.concat_ws(
+    return proposals.join(about, "meeting_id", "left").select("id", F.concat_ws(
         "\n\n", F.concat(F.lit("Ответственный: "), F.coalesce(filled(F.col("owner")), F.lit("—"))),
         F.when(F.col("criterion") != "", F.concat(F.lit("Критерий готовности: "), "criterion")), where,
         F.when(F.col("quote") != "", F.concat(F.lit("Цитата: «"), "quote", F.lit("»"))),

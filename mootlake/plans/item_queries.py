@@ -79,8 +79,10 @@ def artefact_actions(x):
 @query("meeting_type_vote", f"""
 WITH d AS ({DECODED}), v AS (SELECT meeting_id, lower(trim(j->>'meeting_type')) AS vote, chunk_id FROM d WHERE j->>'meeting_type' <> ''),
 c AS (SELECT meeting_id, vote, count(*) AS n, min(chunk_id) AS first FROM v GROUP BY 1, 2)
-SELECT meeting_id, vote AS meeting_type, CASE vote WHEN 'audit' THEN 'Аудит / разбор' WHEN 'retro' THEN 'Ретро' WHEN 'planning' THEN 'Планёрка' END AS label
-FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC, first) AS rn FROM c) r WHERE rn = 1""")
+SELECT m.meeting_id, vote AS meeting_type, CASE vote WHEN 'audit' THEN 'Аудит / разбор' WHEN 'retro' THEN 'Ретро' WHEN 'planning' THEN 'Планёрка'
+       ELSE 'Рабочая встреча' END AS label
+FROM (SELECT DISTINCT meeting_id FROM {{fx_responses}}) m LEFT JOIN
+     (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC, first) AS rn FROM c) r ON r.meeting_id = m.meeting_id AND rn = 1""")
 def meeting_type_vote(x):
     return items.meeting_type_vote(items.decode_extractions(x["fx_responses"]))
 
@@ -208,7 +210,7 @@ CONCRETE = "(lower(trim(coalesce(owner, ''))) NOT IN ('null', 'none', '') OR low
 WITH r AS ({RANKED}), a AS (SELECT *, {CONCRETE} AS c FROM r WHERE kind = 'action_items'),
 m AS (SELECT meeting_id, bool_or(c) AS any_c FROM a GROUP BY 1)
 SELECT meeting_id, kind, item_no, key_text, rank FROM r
-WHERE rank <= CASE kind WHEN 'decisions' THEN 3 WHEN 'risks' THEN 3 WHEN 'blockers' THEN 2 ELSE 0 END
+WHERE rank <= CASE kind WHEN 'decisions' THEN 3 WHEN 'risks' THEN 3 WHEN 'blockers' THEN 2 WHEN 'meta_observations' THEN 3 ELSE 0 END
 UNION ALL
 SELECT meeting_id, kind, item_no, key_text, NULL FROM a JOIN m USING (meeting_id)
 WHERE CASE WHEN any_c THEN c ELSE rank <= 5 END""")

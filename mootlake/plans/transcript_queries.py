@@ -257,9 +257,9 @@ def format_timecodes(x):
 
 @query("normalize_text", """
 SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^\\pL\\pN_\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g') AS norm,
-       replace(lower(substring(text, 1, 60)), 'ё', 'е') AS folded FROM documents""")
+       replace(lower(text), 'ё', 'е') AS folded FROM documents""")
 def normalize_text(x):
     return x["documents"].select("doc_id", normalize(F.col("text")).alias("norm"),
-                                 fold_yo(F.substring("text", 1, 60)).alias("folded"))
+                                 fold_yo(F.col("text")).alias("folded"))
 
 

@@ -41,11 +41,13 @@ def build_session(app: str = "mootlake", master: str | None = None,
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this cluster; a private one only where none is set."""
+    """The shared folder of this cluster; a private one only in local mode, where none is set."""
     global _LOCAL_SCRATCH
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _LOCAL_SCRATCH is None:
         _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="mootlake-")
     return _LOCAL_SCRATCH

@@ -14,7 +14,8 @@ from .common import drain
 def sync_stream(stream: DataFrame, queue: SnapshotTable, fields: Callable[[DataFrame], DataFrame],
                 checkpoint: str | None = None) -> None:
     """Batch n reads version n and writes version n + 1, so a repeated batch
-    gives the same version again.  All items of a meeting come in one batch."""
+    gives the same version again.  All items of a meeting come in one batch; a run
+    without any action sends one row without a task, which clears its open proposals."""
     def each(batch: DataFrame, batch_id: int) -> None:
         merged = sync_proposals(queue.version(batch_id), fields(batch), batch.select("meeting_id"))
         queue.write_version(merged, batch_id + 1)
