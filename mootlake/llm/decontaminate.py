@@ -29,9 +29,9 @@ from .wordhash import mix
 WORD = re.compile(r"[^\W_]+")
 SAMPLED, REPEATS, STARTS = 3, 6, 6
 EDITS = 0.2
-SLACK = 0.25
 BLOCK = 20_000
 BATCH_DOCS = 2000
+CELLS = 500_000  # of one step of the edit distance
 SHAPE = "item_id bigint, distance int, n_words int, first_word int, last_word int"
 
 
@@ -145,6 +145,16 @@ def best_stretch(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.
     return least // scale, width - least % scale, end
 
 
+def spaced(texts: np.ndarray, places: np.ndarray, near: int) -> np.ndarray:
+    """Which of the sorted (text, place) pairs are more than ``near`` behind the last one chosen."""
+    chosen, last = [], (-1, 0)
+    for i, (t, p) in enumerate(zip(texts.tolist(), places.tolist(), strict=True)):
+        if t != last[0] or p > last[1] + near:
+            chosen.append(i)
+            last = (t, p)
+    return np.array(chosen, np.int64)
+
+
 def scan_batch(items: Items, texts: list[str | None]) -> list[tuple]:
     """(text number, item number, distance, first word, last word exclusive), best per text and item."""
     get = items.number.get
@@ -164,12 +174,16 @@ def scan_batch(items: Items, texts: list[str | None]) -> list[tuple]:
     for number in np.unique(item):
         words = items.items[number]
         own = item == number
-        slack = int(np.ceil(SLACK * len(words))) + 1
-        texts_of, first = which[own], place[own] - slack
+        # Places that lie close together share the surroundings of the first of them.
+        near = max(1, len(words) // 8)
+        slack = int(np.ceil(EDITS * len(words))) + near + 1
+        apart = spaced(which[own], place[own], near)
+        texts_of, first = which[own][apart], place[own][apart] - slack
         reach = first[:, None] + np.arange(len(words) + 2 * slack)[None, :]
         inside = (reach >= begin[texts_of][:, None]) & (reach < ends[texts_of][:, None])
-        for i in range(0, len(first), 1024):
-            part = slice(i, i + 1024)
+        rows = max(1, CELLS // reach.shape[1])
+        for i in range(0, len(first), rows):
+            part = slice(i, i + rows)
             values = np.where(inside[part], symbols[np.clip(reach[part], 0, len(symbols) - 1)].astype(np.int64), 0)
             distance, start, end = best_stretch(words, values)
             for j in np.flatnonzero(distance <= int(EDITS * len(words))):
