@@ -110,15 +110,15 @@ SELECT source AS meeting_id, doc_id AS ord,
        CASE n_chars % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'exists' ELSE 'missing' END AS status,
        CASE n_chars % 3 WHEN 0 THEN NULL WHEN 1 THEN 'high' ELSE 'low' END AS priority,
        CASE n_chars % 5 WHEN 0 THEN '00:00:10' WHEN 1 THEN '' ELSE NULL END AS source_time,
-       CASE n_chars % 6 WHEN 0 THEN substring(text, 1, 10) ELSE NULL END AS evidence,
-       CASE n_chars % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE substring(text, 1, 3) END AS reasoning,
-       CASE n_chars % 8 WHEN 0 THEN NULL WHEN 1 THEN concat('see ', lang) ELSE substring(text, 1, 12) END AS notes
+       CASE n_chars % 6 WHEN 0 THEN text ELSE NULL END AS evidence,
+       CASE n_chars % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE text END AS reasoning,
+       CASE n_chars % 8 WHEN 0 THEN NULL WHEN 1 THEN concat('see ', lang) ELSE text END AS notes
 FROM {documents}"""
 
 # Quotes: a foreign passage, an own passage behind two changed words, two leading words.
 VIEWS["fx_quotes"] = """
 SELECT doc_id AS meeting_id, 0 AS item_no, b.text AS quote
-FROM {documents} d JOIN {benchmark} b ON d.doc_id % 40 = b.item_id
+FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM {benchmark}) AS nth FROM {documents}) d JOIN {benchmark} b ON d.nth = b.item_id
 UNION ALL
 SELECT doc_id AS meeting_id, 1 AS item_no, concat('zz yy ', substring(text, CAST(1 + (doc_id * 37) % 200 AS INT), 90)) AS quote
 FROM {documents}
