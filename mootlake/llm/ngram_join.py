@@ -484,6 +484,19 @@ def joined(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     # Signatures whose members are still in different components.
+    # Signature rows are many and stay narrow until it is known which signatures are open; dealt once, by signature.
+    rooted_short = stage_table(labels.join(short, "node").select("short", "root"), "join-roots")
+    rooted_short = F.broadcast(rooted_short) if rooted_short.count() <= SMALL_ROWS else rooted_short
+    lean = (found.where(F.col("kind") == _MEMBER).select("x", F.col("y").alias("short"), F.col("weight").alias("rares"))
+            .repartition("x").distinct())
+    # Of signatures with the same members one is enough.
+    marks = [F.bit_xor(F.xxhash64("short", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    root = F.coalesce("root", "short")
+    lists = lean.join(rooted_short, "short", "left").groupBy("x").agg(
+        *marks, F.count(F.lit(1)).alias("size"), F.max("rares").alias("rares"), F.min(root).alias("low"), F.max(root).alias("high"))
+    one = lists.where("low <> high").groupBy("mark1", "mark2", "size", "rares").agg(F.min("x").alias("x")).select("x")
+    opened = stage_table(lean.join(one, "x", "left_semi"), "join-open")
+
     # Parities of a coarser partition, four words of bits, travel with the members.
     folded = []
     for i in range(len(FOLDED)):
@@ -491,16 +504,9 @@ def joined(docs: DataFrame) -> DataFrame:
         for j in range(i + len(FOLDED), PARITIES // 64, len(FOLDED)):
             word = word.bitwiseXOR(F.get("odd", F.lit(j)))
         folded.append(word.alias(FOLDED[i]))
-    short_n = nodes.select(F.col("node").bitwiseAND(NODE_MASK).alias("short"), "node", "n", *folded)
-    members = (found.where(F.col("kind") == _MEMBER).select("x", F.col("y").alias("short"), F.col("weight").alias("rares")).distinct()
-               .join(short_n, "short").join(labels, "node", "left")
-               .select("x", "node", "n", "rares", F.coalesce("root", "node").alias("root"), *FOLDED))
-    # Of signatures with the same members one is enough.
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
-    lists = members.groupBy("x").agg(*marks, F.count(F.lit(1)).alias("size"), F.max("rares").alias("rares"),
-                                     F.min("root").alias("low"), F.max("root").alias("high"))
-    one = lists.where("low <> high").groupBy("mark1", "mark2", "size", "rares").agg(F.min("x").alias("x")).select("x")
-    members = stage_table(members.join(one, "x", "left_semi"), "join-open")
+    form = nodes.select(F.col("node").bitwiseAND(NODE_MASK).alias("short"), "node", "n", *folded)
+    members = stage_table(opened.join(form, "short").join(labels, "node", "left").select(
+        "x", "node", "n", "rares", F.coalesce("root", "node").alias("root"), *FOLDED), "join-members")
 
     # Stars once more, around a centre drawn anew for each signature; then every pair that is still apart.
     form = F.struct("node", "n", "rares", "root", *FOLDED)
@@ -528,11 +534,13 @@ def joined(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the least id; repeated rows of one id stay once.
 
-    Only ids that occur more than once need a second step, and only their rows move in it.
+    Only ids that occur more than once need a second step, and only their rows move in it.  Where some group has no id at
+    all, documents without id stay once per text.
     """
     groups = stage_table(joined(docs), "join-groups")
-    kept = docs.join(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(),
-                     "doc_id", "left_semi")
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = stage_table(groups.groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select("doc_id"), "join-gone")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone, "doc_id", "left_anti")
     unnamed = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
     twice = stage_table(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "join-twice")
     if twice.take(1):
