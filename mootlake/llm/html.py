@@ -3,7 +3,9 @@
 A page becomes a token stream with balanced tags.  The wrapper of a host is a union-free regular expression over tags and
 text slots: it starts as the first page and is aligned with one page after the other.  Where streams differ, siblings of
 one kind in a row fold into a repeated group, tokens missing on one side become optional, and differing texts become
-slots.  Texts that stay the same on at least ``SUPPORT`` different pages are template.  The wrapper then says which paths
+slots.  Texts that stay the same on at least ``SUPPORT`` different pages are template: a text carries the least marks of the
+pages it stands on, up to so many, so a text of one page stays a text of one page however many others the host has.  The
+wrapper then says which paths
 hold the article: the article or main element if the host has one, else the element with the most paragraph text, without
 the parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments by their tag,
 role or class, and outside article elements without template texts and link lists.
@@ -71,10 +73,10 @@ _NAMING = {"class", "id", "role", "hidden", "aria-hidden", "style", "itemprop"}
 class Element:
     """A tag of a page with its children, texts among them as plain strings."""
 
-    __slots__ = ("tag", "label", "bad", "children")
+    __slots__ = ("tag", "label", "bad", "children", "mark")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.children = tag, []
+        self.tag, self.children, self.mark = tag, [], 0
         named = {}
         if attributes and ("=" in attributes or "hidden" in attributes):
             named = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in _NAMING}
@@ -93,8 +95,11 @@ class Element:
 
 
 def parse(html: str) -> Element:
-    """Balanced tree of a page; every unbalanced tag finds a place."""
+    """Balanced tree of a page; every unbalanced tag finds a place.  The root has the mark of the page."""
+    import xxhash
+
     root = Element("#page", "")
+    root.mark = xxhash.xxh64_intdigest(html)
     stack, at = [root], 0
     while at < len(html):
         found = _TOKEN.search(html, at)
@@ -139,17 +144,19 @@ def _close(stack: list[Element], names: set[str], scopes: set[str]) -> None:
 
 
 # ---------------------------------------------------------------- wrappers
-# A wrapper item is [label, optional, repeated, text hash or None for a slot, children, chars, link chars, paragraph chars].
+# A wrapper item is [label, optional, repeated, text hash or None for a slot, children, chars, link chars, paragraph chars,
+# the least SUPPORT marks of the pages with this same text].
 
-def _item(node, link: bool = False) -> list | None:
+def _item(node, link: bool = False, mark: int | None = None) -> list | None:
     import xxhash
 
+    mark = node.mark if mark is None else mark
     if isinstance(node, str):
         text = " ".join(node.split())
-        return ["#", 0, 0, xxhash.xxh64_hexdigest(text), [], len(text), len(text) if link else 0, 0] if text else None
-    own = [x for c in node.children if (x := _item(c, link or node.tag == "a"))] if node.tag not in RAW else []
+        return ["#", 0, 0, xxhash.xxh64_hexdigest(text), [], len(text), len(text) if link else 0, 0, [mark]] if text else None
+    own = [x for c in node.children if (x := _item(c, link or node.tag == "a", mark))] if node.tag not in RAW else []
     paragraph = sum(x[5] for x in own if x[0].split(".")[0] in ("p", "blockquote", "pre", "li", "#"))
-    return [node.label + ("!" if node.bad else ""), 0, 0, None, fold(own), sum(x[5] for x in own), sum(x[6] for x in own), paragraph]
+    return [node.label + ("!" if node.bad else ""), 0, 0, None, fold(own), sum(x[5] for x in own), sum(x[6] for x in own), paragraph, []]
 
 
 def fold(items: list[list]) -> list[list]:
@@ -166,7 +173,9 @@ def fold(items: list[list]) -> list[list]:
 
 def merge(a: list, b: list) -> list:
     """One item for two aligned ones."""
-    return [a[0], a[1] | b[1], a[2] | b[2], a[3] if a[3] == b[3] else None, align(a[4], b[4]), a[5] + b[5], a[6] + b[6], a[7] + b[7]]
+    same = a[3] is not None and a[3] == b[3]
+    return [a[0], a[1] | b[1], a[2] | b[2], a[3] if same else None, align(a[4], b[4]), a[5] + b[5], a[6] + b[6], a[7] + b[7],
+            sorted({*a[8], *b[8]})[:SUPPORT] if same else []]
 
 
 def align(left: list[list], right: list[list]) -> list[list]:
@@ -218,7 +227,7 @@ def compile_wrapper(wrapper: list, pages: int) -> dict:
     root = max(holders)[2]
     while root and size.get(up := root.rpartition("/")[0], 0) >= WIDER * size.get(root, 0):
         root = up
-    texts = [[p, x[3]] for p, x in _walk(wrapper[4], "") if x[0] == "#" and x[3] is not None] if pages >= SUPPORT else []
+    texts = [[p, x[3]] for p, x in _walk(wrapper[4], "") if x[0] == "#" and len(x[8]) >= SUPPORT] if pages >= SUPPORT else []
     lists = [p for p, x in elements if x[5] and x[6] >= 0.6 * x[5]]
     return {"roots": [root], "texts": texts, "lists": lists}
 

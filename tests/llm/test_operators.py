@@ -82,6 +82,21 @@ def test_wrapper_of_plain_divs():
     assert html.main_text(page.format(3), html.compile_wrapper(whole, 8)) == "Long story number 3, told at length.\nIt goes on 3"
 
 
+def test_texts_of_few_pages_are_no_template(spark):
+    page = ("<body><div id=top>Site {0}</div><div id=mid><p>Long story number {0}, told at length.</p><p>It goes on {0}</p>"
+            "{1}<pre>Printed by us</pre></div></body>")
+    extra = {0: "<h2>Only here</h2>", 1: "<blockquote>Said once</blockquote>", 2: "<table><tr><td>One cell</td></tr></table>",
+             3: "<h3>On four</h3>", 4: "<h3>On four</h3>", 5: "<h3>On four</h3>", 6: "<h3>On four</h3>", 7: "<em>bold</em> and its tail"}
+    rows = [(i, "https://h.example/a", page.format(i, extra.get(i, ""))) for i in range(12)]
+    # Copies of one page, in other tasks too, count as one page.
+    rows += [(100 + i, "https://h.example/a", rows[0][2]) for i in range(12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)).collect()}
+    for i in range(12):
+        own = [re.sub("<[^>]*>", "", extra[i])] if i in extra else []
+        assert got[i].split("\n") == [f"Long story number {i}, told at length.", f"It goes on {i}", *own]
+    assert all(got[100 + i] == got[0] for i in range(12))
+
+
 def test_alignment_makes_optional_and_repeated_items():
     a, b = (html._item(html.parse(x)) for x in ("<div><h1>x</h1><p>a</p></div>", "<div><p>b</p><p>c</p><ul></ul></div>"))
     kinds = [(x[0], x[1], x[2]) for x in html.merge(a, b)[4][0][4]]
