@@ -8,7 +8,8 @@ pages it stands on, up to so many, so a text of one page stays a text of one pag
 wrapper then says which paths
 hold the article: the article or main element if the host has one, else the element with the most paragraph text, without
 the parts that are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments by their tag,
-role or class, and outside article elements without template texts and link lists.
+role or class, and outside article elements without template texts and link lists.  A link list is a container of blocks
+whose text is mostly links; links in running text are text.
 
 Wrappers are folded per task, merged per host and salt, then per host, so a host that owns a third of the pages is never
 in one place; its wrapper is as small as any other's.  Pages that do not have the wrapper's article path are their own
@@ -45,6 +46,7 @@ BLOCKS = set("address article aside blockquote body caption center dd details di
              "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary "
              "table tbody tfoot thead tr ul".split())
 SPACES = {"br", "td", "th"}
+LISTS = set("aside center details dir div dl footer header menu nav ol section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"},
@@ -228,7 +230,7 @@ def compile_wrapper(wrapper: list, pages: int) -> dict:
     while root and size.get(up := root.rpartition("/")[0], 0) >= WIDER * size.get(root, 0):
         root = up
     texts = [[p, x[3]] for p, x in _walk(wrapper[4], "") if x[0] == "#" and len(x[8]) >= SUPPORT] if pages >= SUPPORT else []
-    lists = [p for p, x in elements if x[5] and x[6] >= 0.6 * x[5]]
+    lists = [p for p, x in elements if tag(x)[0] in LISTS and x[5] and x[6] >= 0.6 * x[5] and not f"{root}/".startswith(f"{p}/")]
     return {"roots": [root], "texts": texts, "lists": lists}
 
 

@@ -97,6 +97,19 @@ def test_texts_of_few_pages_are_no_template(spark):
     assert all(got[100 + i] == got[0] for i in range(12))
 
 
+def test_links_in_paragraphs_are_kept():
+    page = ("<body><div id=top><a href=1>Home</a> <a href=2>News</a></div><div id=mid><p>Report {0}: see the <a href=3>annual report</a> for "
+            "more on {0}.</p><p><a href=4>A paragraph {0} of one link</a></p><ul><li><a href=5>Next {0}</a><li><a href=6>Last</a></ul>"
+            "<p>Long story number {0}, told at length.</p></div></body>")
+    want = "Report 3: see the annual report for more on 3.\nA paragraph 3 of one link\nLong story number 3, told at length."
+    whole = html._item(html.parse(page.format(0)))
+    for i in range(1, 8):
+        whole = html.merge(whole, html._item(html.parse(page.format(i))))
+    assert html.main_text(page.format(3), html.compile_wrapper(whole, 8)) == want
+    assert html.main_text(page.format(3)) == want
+    assert html.main_text("<div><p>See <a href=1>the whole annual report</a> now.</p></div>") == "See the whole annual report now."
+
+
 def test_alignment_makes_optional_and_repeated_items():
     a, b = (html._item(html.parse(x)) for x in ("<div><h1>x</h1><p>a</p></div>", "<div><p>b</p><p>c</p><ul></ul></div>"))
     kinds = [(x[0], x[1], x[2]) for x in html.merge(a, b)[4][0][4]]
