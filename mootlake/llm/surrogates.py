@@ -5,7 +5,8 @@ of the entity inside its own form: digits stay digits in the same places, case a
 the same gender and script, a card keeps its network digit and the validity of its check digit, a private network address
 stays private.  Being permutations, surrogates of different entities differ, equal entities get equal surrogates wherever
 they occur, and nothing has to be shared between tasks.  Name parts are replaced one by one, so "Mr. Brown" and
-"Anna Brown" still share their family name.
+"Anna Brown" still share their family name.  A name is the whole run of capitalised parts behind titles or a listed first
+name; its parts are then replaced wherever they stand by themselves, with a capital, in the same text.
 
 The collision check groups all entities by type and surrogate; if two originals met in one, or an original met its own
 surrogate everywhere it stands, the run would be repeated with the next key.
@@ -43,6 +44,12 @@ FIRST_NAMES = {
 TITLES = {"m": "mr mister herr monsieur señor sr sir", "f": "mrs ms miss frau madame mme mlle señora sra fräulein",
           "n": "dr prof doctor professor"}
 
+# Words inside a name that stay as they are, and words that end one even with a capital.
+PARTICLES = frozenset("van von vom zu zum zur der den de la las los del della di da do dos du des le ten ter bin ibn al el y e".split())
+STOPS = frozenset("i a an and or but of the in on at for to is was are were has had said says with from by he she it they we you this that "
+                  "und oder aber die das dem ist war hat im am mit er sie es wir et ou mais les est dans pour il elle o pero es en que un una "
+                  "и или но в на с он она не".split())
+
 GENDER_OF_TITLE = {t: g for g, line in TITLES.items() for t in line.split()}
 CLASS_OF_NAME = {n: c for c, line in FIRST_NAMES.items() for n in line.split()}
 
@@ -55,8 +62,8 @@ _NUMBERS = re.compile(r"""
 |(?P<phone>(?<![\w.+])(?:\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?){2,6}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,4}
    |\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}[ /.-]\d{3,8}(?:[ -]\d{2,5})*)(?!\w|[.-]\d))
 """, re.X)
-_WORD = r"[^\W\d_][^\W\d_]+(?:[-'’][^\W\d_]+)*"
-_NAMES = re.compile(rf"(?<!\w)({_WORD})(\.?[ ])({_WORD})(?:([ ])({_WORD}))?")
+_PART = re.compile(r"(?<!\w)[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_GAP, _DOT_GAP = re.compile(r"[ \t\xa0]+"), re.compile(r"\.?[ \t\xa0]+")
 _BEGIN = re.compile(r"[+(]?[0-9]|[A-Z]{2}[0-9]{2}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NAME_WORDS = {w for n in (*CLASS_OF_NAME, *GENDER_OF_TITLE) for w in n.split("-")}
@@ -230,8 +237,10 @@ def _family(p: Permuter, part: str) -> str:
 
 
 def _name_part(p: Permuter, part: str) -> str:
-    known = p.names.get(part.lower())
-    return like(part, known) if known else "".join(x if x in "-'’" else _family(p, x) for x in re.split(r"([-'’])", part) if x)
+    if len(part) == 1 and "a" <= part.lower() <= "z":
+        return like(part, p.letters(part.lower(), "initial"))
+    pieces = [x for x in re.split(r"([-'’])", part) if x]
+    return "".join(x if x in "-'’" else like(x, p.names[x.lower()]) if x.lower() in p.names else _family(p, x) for x in pieces)
 
 
 _MAKERS = {"email": _email, "card": _card, "phone": _phone, "ip": _ip, "ssn": _ssn, "iban": _iban, "name": _name_part}
@@ -239,6 +248,73 @@ _MAKERS = {"email": _email, "card": _card, "phone": _phone, "ip": _ip, "ssn": _s
 
 # ---------------------------------------------------------------- finding
 
+def find_names(text: str) -> list[tuple[int, int]]:
+    """Places of all name parts: runs behind titles and listed first names, then every other mention of their parts."""
+    words = list(_PART.finditer(text))
+    lower = [w[0].lower() for w in words]
+    capital = [w[0][0].isupper() for w in words]
+
+    def follows(i: int, dot: bool) -> bool:
+        """Whether the next word stands right behind word ``i``."""
+        return i + 1 < len(words) and (_DOT_GAP if dot else _GAP).fullmatch(text, words[i].end(), words[i + 1].start()) is not None
+
+    def run(i: int, least: int) -> list[int]:
+        """Name parts from word ``i`` on; stop words count among the first ``least`` only."""
+        out: list[int] = []
+        while True:
+            dot = len(lower[i]) == 1 or lower[i] in GENDER_OF_TITLE
+            onward = follows(i, dot)
+            named = onward and (capital[i + 1] or lower[i + 1] in PARTICLES)
+            if out and lower[i] in GENDER_OF_TITLE and onward and capital[i + 1]:
+                return out  # the title of the next name
+            if lower[i] not in PARTICLES or (capital[i] and not named):
+                if not capital[i] or (len(out) >= least and lower[i] in STOPS):
+                    return out
+                out.append(i)
+            if not onward:
+                return out
+            i += 1
+
+    def body(i: int) -> str:
+        """The word without a possessive ending."""
+        return words[i][0][:-2] if lower[i][-2:] in ("'s", "’s") else words[i][0]
+
+    taken: set[int] = set()
+    titles: set[int] = set()
+    i = 0
+    while i < len(words):
+        parts: list[int] = []
+        if lower[i] in GENDER_OF_TITLE:
+            first = i
+            while follows(i, True) and lower[i + 1] in GENDER_OF_TITLE:
+                i += 1
+            parts = run(i + 1, 1) if follows(i, True) else []
+            titles |= set(range(first, i + 1)) if parts or i > first else set()
+            if not parts and i > first and capital[i] and GENDER_OF_TITLE[lower[i]] != "n":
+                parts = [i]  # nobody is addressed twice: a family name that looks like a title
+        elif capital[i] and re.split("[-'’]", lower[i])[0] in CLASS_OF_NAME:
+            parts = run(i, 2)
+            if len(parts) < 2 and not (follows(i, False) and capital[i + 1]):
+                parts = []
+        taken |= set(parts)
+        i = max([i, *parts]) + 1
+    whole = {body(i).lower() for i in taken} - STOPS
+    pieces = {x for w in whole for x in _LETTERS.findall(w) if len(x) > 1} - STOPS - PARTICLES
+    whole = {w for w in whole if len(w) > 1}
+    out = []
+    for i, w in enumerate(words):
+        start, end = w.start(), w.start() + len(body(i))
+        if i in taken:
+            out.append((start, end))
+        elif i in titles or text[w.end():w.end() + 1].isalnum() or text[w.end():w.end() + 1] == "_":
+            continue
+        elif capital[i] and body(i).lower() in whole:
+            out.append((start, end))
+        else:
+            out += [(start + m.start(), start + m.end()) for m in _LETTERS.finditer(body(i)) if m[0][0].isupper() and m[0].lower() in pieces]
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of all entities, in order and apart from each other."""
     found = [(m.start(), m.end(), "email") for m in _EMAIL.finditer(text)] if "@" in text else []
@@ -249,19 +325,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if m.lastgroup != "phone" or 7 <= len(re.sub(r"\D", "", m[0])) <= 15:
                 found.append((m.start(), m.end(), m.lastgroup))
                 done = m.end()
-    at = 0 if not _NAME_WORDS.isdisjoint(_LETTERS.findall(text.lower())) else len(text)
-    while m := _NAMES.search(text, at):
-        first, second = m[1], m[3]
-        if first.lower() in GENDER_OF_TITLE and second[0].isupper():
-            found.append((m.start(3), m.end(3), "name"))
-            if m[5] and m[5][0].isupper() and second.lower() in CLASS_OF_NAME:
-                found.append((m.start(5), m.end(5), "name"))
-            at = m.end(3)
-        elif first[0].isupper() and first.lower() in CLASS_OF_NAME and m[2] == " " and second[0].isupper():
-            found += [(m.start(1), m.end(1), "name"), (m.start(3), m.end(3), "name")]
-            at = m.end(3)
-        else:
-            at = m.end(1)
+    if not _NAME_WORDS.isdisjoint(_LETTERS.findall(text.lower())):
+        found += [(start, end, "name") for start, end in find_names(text)]
     out: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(set(found), key=lambda x: (x[0], -x[1])):
         if not out or start >= out[-1][1]:

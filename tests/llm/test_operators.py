@@ -155,6 +155,29 @@ def test_surrogates_keep_form_and_identity(spark):
     assert surrogates.collisions(surrogates.pseudonymised(docs_of(spark, texts))).count() == 0
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Anna Maria Brown met Hans Peter Müller.", "Anna Maria Brown Hans Peter Müller"),
+    ("Herr Dr. Müller und Frau Prof. Dr. Anna Weiß", "Müller Anna Weiß"),
+    ("Anna Brown came. Brown said so, Anna's brother too; BROWN left, brown fox, Brownfield stays.", "Anna Brown Brown Anna BROWN"),
+    ("Mr. Brown-Lee. Later Lee and Brown, Brown-Lee's car", "Brown-Lee Lee Brown Brown-Lee"),
+    ("Brown waited for Mrs. Brown and for Hans-Peter O'Neill.", "Brown Brown Hans-Peter O'Neill"),
+    ("Peter J. Stone, Maria von der Tann, Mr. De La Cruz", "Peter J Stone Maria Tann Cruz"),
+    ("Анна Мария Петрова ушла. Петрова и Анна", "Анна Мария Петрова Петрова Анна"),
+    ("Anna Herr and Dr. Herr and Herr Professor sagte", "Anna Herr Herr"),
+    ("Mr. said no, the doctor went, Anna went", ""),
+])
+def test_whole_names_and_their_mentions(text, names):
+    p = surrogates.Permuter(b"k")
+    found = surrogates.find(text)
+    new, entities = surrogates.replace(p, text)
+    assert [text[a:b] for a, b, kind in found if kind == "name"] == names.split()
+    same = defaultdict(set)
+    for (a, b, _), e in zip(found, entities, strict=True):
+        same[text[a:b].lower()].add(e["surrogate"].lower())
+        assert new[e["start"]:e["end"]] == e["surrogate"]
+    assert all(len(x) == 1 for x in same.values())
+
+
 def test_permutations_are_bijective():
     p = surrogates.Permuter(b"k")
     assert sorted(p.number(i, 1000, "t") for i in range(1000)) == list(range(1000))
