@@ -8,8 +8,8 @@ they occur, and nothing has to be shared between tasks.  Name parts are replaced
 "Anna Brown" still share their family name.  A name is the whole run of capitalised parts behind titles or a listed first
 name; its parts are then replaced wherever they stand by themselves, with a capital, in the same text.
 
-The collision check groups all entities by type and surrogate; if two originals met in one, or an original met its own
-surrogate everywhere it stands, the run would be repeated with the next key.
+Permutations have no fixed points, so no original is its own surrogate.  The collision check groups all entities by type and
+surrogate; if two originals met in one, or an original stayed as it is, the run would be repeated with the next key.
 
 Defined results: null texts stay null, empty texts stay empty, both without entities; overlapping findings go to the one
 that begins first, then the longer; repeated rows get equal results; an empty table gives an empty result; other columns
@@ -87,15 +87,22 @@ class Permuter:
         return int.from_bytes(hashlib.blake2b(f"{tweak}|{value}".encode(), key=self.key[:64], digest_size=16).digest(), "big")
 
     def _number(self, value: int, size: int, tweak: str) -> int:
-        """A permutation of range(size): a Feistel network over the next even number of bits, walked until it is back in range."""
+        """A permutation of range(size) without fixed points: the next in keyed order, as for names."""
         if size < 2:
             return value
+        return self._walk((self._walk(value, size, tweak, False) + 1) % size, size, tweak, True)
+
+    def _walk(self, value: int, size: int, tweak: str, back: bool) -> int:
+        """Place of a value in keyed order, or back: a Feistel network over the next even number of bits, walked until it is in range."""
         half = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << half) - 1
         while True:
             left, right = value >> half, value & mask
-            for turn in range(8):
-                left, right = right, left ^ (self._digest(f"{tweak}/{size}/{turn}", right) & mask)
+            for turn in reversed(range(8)) if back else range(8):
+                if back:
+                    left, right = right ^ (self._digest(f"{tweak}/{size}/{turn}", left) & mask), left
+                else:
+                    left, right = right, left ^ (self._digest(f"{tweak}/{size}/{turn}", right) & mask)
             value = left << half | right
             if value < size:
                 return value
@@ -192,7 +199,10 @@ def _ssn(p: Permuter, value: str) -> str:
 
 def _iban(p: Permuter, value: str) -> str:
     plain = value.replace(" ", "")
-    body = "".join(p.digits(x, "iban") if x.isdigit() else x for x in re.findall(r"\d+|[A-Z]+", plain[4:]))
+    runs = re.findall(r"\d+|[A-Z]+", plain[4:])
+    if not any(x.isdigit() for x in runs):
+        runs = [p.letters(x.lower(), "iban").upper() for x in runs]
+    body = "".join(p.digits(x, "iban") if x.isdigit() else x for x in runs)
     whole = body + plain[:2] + "00"
     check = 98 - int("".join(str(int(c, 36)) for c in whole)) % 97
     fresh, left = f"{plain[:2]}{check:02d}{body}", 0
@@ -233,6 +243,8 @@ def _family(p: Permuter, part: str) -> str:
         if not value:
             break
         value -= 1
+    if not ending and "".join(out) == lower:
+        ending = "р" if cyrillic else "r"  # of odd length, as no other
     return like(part, "".join(out) + ending)
 
 
@@ -375,9 +387,10 @@ def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
 
 
 def collisions(rows: DataFrame) -> DataFrame:
-    """(type, surrogate) that stand for more than one original; case counts as form, not as identity."""
-    each = rows.select(F.inline("entities")).groupBy("type", "surrogate", "mark").agg(F.count(F.lit(1)).alias("n"))
-    return each.groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("originals")).where("originals > 1")
+    """(type, surrogate) that stand for more than one original or for themselves; case counts as form, not as identity."""
+    each = rows.select(F.inline("entities")).groupBy("type", "surrogate", "mark").agg(F.bool_and("changed").alias("changed"))
+    return (each.groupBy("type", "surrogate").agg(F.count(F.lit(1)).alias("originals"), F.bool_and("changed").alias("changed"))
+            .where("originals > 1 OR NOT changed"))
 
 
 def surrogates(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:

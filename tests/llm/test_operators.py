@@ -185,6 +185,23 @@ def test_permutations_are_bijective():
     assert len({surrogates._family(p, n) for n in names}) == len(names)
 
 
+def test_no_original_is_its_own_surrogate(spark):
+    p = surrogates.Permuter(b"k")
+    for size in (2, 3, 10, 26, 1000):
+        new = [p.number(i, size, "t") for i in range(size)]
+        assert sorted(new) == list(range(size)) and all(a != b for a, b in enumerate(new))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    locals_ = [*letters, *"0123456789", *(f"{a}{b}" for a in "abc" for b in "0123456789")]
+    assert all(surrogates._email(p, f"{x}@example.com") != f"{x}@example.com" for x in locals_)
+    names = ["".join((a, b)) for a in letters for b in letters]
+    assert all(surrogates._name_part(p, x) != x for x in [*letters, *names])
+    assert len({surrogates._name_part(p, x) for x in names}) == len(names)
+    for value in ("DE89 ABCD EFGH", "DE89370400440532013000"):
+        assert surrogates._iban(p, value) != value
+    rows = spark.createDataFrame([([("name", 0, 1, "a", "m", False)],)], f"entities {surrogates.ENTITIES}")
+    assert surrogates.collisions(rows).count() == 1
+
+
 # ------------------------------------------------------------ 3 decontamination
 
 def brute_distance(item, window):
