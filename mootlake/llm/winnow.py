@@ -1,18 +1,23 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Words are hashed in rolling grams of ``GRAM`` words; of every ``WINDOW`` grams in a row the one with the least hash is
-kept, the rightmost on ties, together with its position.  Two texts that share ``WINDOW + GRAM - 1`` words in a row share a
-selected gram.  A gram is one long: 32 bits of hash, then 31 bits that fall with the position, so that ``array_min`` alone
-finds the least hash and the rightmost tie.
-
-Defined results: null texts count as empty; a text without words has an empty fingerprint; a text with fewer words than a
-gram has one gram of all its words; with fewer grams than a window, the least gram is kept.  Likeness is the Dice measure of
+Overlapping grams of ``GRAM`` units are hashed; of every ``WINDOW`` grams in a row the one with the least hash is kept, the
+rightmost on ties, together with its position.  A unit is a word of up to ``LONG`` code points; a longer word, such as a line
+without white space, has a unit of ``GRAM`` code points at each of its code points.  Two texts that share
+``WINDOW + GRAM - 1`` units in a row share a selected gram.  Texts of up to ``SHORT`` code points have grams of ``GRAM`` code
+points behind those of units, so that they share one if they share as many code points in a row; three quarters of a longer
+text always have enough units.  A gram is one long: 32 bits of hash, then 31 bits that fall with the position, so that
+``array_min`` alone finds the least hash and the rightmost tie.
+
+Defined results: null texts count as empty; a text without words has an empty fingerprint; a text with fewer units than a
+gram has one gram of all its units; with fewer grams than a window, the least gram is kept.  Likeness is the Dice measure of
 the two sets of hashes, 1 for two empty fingerprints, 0 for one.  Rows are ordered by ``doc_id`` (null first), then by text
 hash.  A single row is its own next document.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,18 +25,42 @@ from .common import stage_table, words
 
 GRAM = 4
 WINDOW = 8
+LONG = 16
+SHORT = 256
 _POSITIONS = 2 ** 31
 BLOCKS_PER_PARTITION = 8
 MAX_BLOCKS = 4096
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _units(tokens: Column, gram: int) -> Column:
+    """Words, the long ones cut into overlapping pieces."""
+    def pieces(word: Column) -> Column:
+        return _let(F.split(word, ""), lambda c: F.transform(
+            F.sequence(F.lit(0), F.size(c) - gram), lambda i: F.concat(*[F.get(c, i + j) for j in range(gram)])))
+
+    long = lambda word: F.char_length(word) > max(LONG, gram)
+    cut = F.flatten(F.transform(tokens, lambda w: F.when(long(w), pieces(w)).otherwise(F.array(w))))
+    return F.when(F.exists(tokens, long), cut).otherwise(tokens)
+
+
 def _grams(tokens: Column, gram: int) -> Column:
-    """Hash and position of every gram as one long."""
-    rolled = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(tokens) - gram, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(gram)]).bitwiseAND(F.lit(0xFFFFFFFF)) * _POSITIONS
-        + (F.lit(_POSITIONS - 1) - i))
-    return F.when(F.size(tokens) > 0, rolled).otherwise(F.array().cast("array<bigint>"))
+    """Hash and position of every gram as one long; grams of code points follow in short texts."""
+    def hashed(units: Column, first: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(units) - gram, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(units, i + j) for j in range(gram)]).bitwiseAND(F.lit(0xFFFFFFFF)) * _POSITIONS
+            + (F.lit(_POSITIONS - 1) - first - i))
+
+    line = F.array_join(tokens, " ")
+    whole = _let(_units(tokens, gram), lambda u: hashed(u, F.lit(0)))
+    short = (F.size(tokens) <= SHORT) & (F.char_length(line) <= SHORT)
+    grams = _let(whole, lambda w: F.when(short, F.concat(w, _let(F.split(line, ""), lambda c: hashed(c, F.size(w))))).otherwise(w))
+    return F.when(F.size(tokens) > 0, grams).otherwise(F.array().cast("array<bigint>"))
 
 
 def _select(grams: Column, window: int) -> Column:
@@ -54,7 +83,7 @@ def hashes(selected: Column) -> Column:
 
 
 def positions(selected: Column) -> Column:
-    """Word positions of the selected grams."""
+    """Positions of the selected grams: units, then code points of short texts."""
     return F.transform(selected, lambda v: F.lit(_POSITIONS - 1) - v.bitwiseAND(F.lit(_POSITIONS - 1)))
 
 

@@ -455,6 +455,20 @@ def test_fingerprints_of_edited_texts(spark):
     assert all(r.near_edited > 0.6 and r.near_edited > r.near_next for r in long)
 
 
+def test_fingerprints_of_unspaced_and_short_texts(spark):
+    rnd = random.Random(11)
+    han, latin = [chr(0x4E00 + i) for i in range(3000)], "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["".join(rnd.choice(han) for _ in range(n)) for n in (15, 16, 17, 18, 21, 22, 40, 100, 255, 256, 257, 258, 340, 345, 2000)]
+    texts += ["".join(rnd.choice(latin) for _ in range(n)) for n in (15, 64, 300, 5000)]
+    texts += ["，".join("".join(rnd.choice(han) for _ in range(9)) for _ in range(60)), "".join(chr(0x1F300 + rnd.randrange(700)) for _ in range(50))]
+    texts += [" ".join("".join(rnd.choice(latin) for _ in range(rnd.randint(2, 16))) for _ in range(n))
+              for n in (3, 4, 5, 7, 9, 10, 11, 12, 14, 20, 25, 30, 35) for _ in range(3)]
+    texts = [t for t in texts if len(t) >= 15]
+    rows = winnow.compare(docs_of(spark, texts, 4)).collect()
+    assert len(rows) == len(texts)
+    assert [r.doc_id for r in rows if not r.near_edited > r.near_next] == []
+
+
 def test_winnowing_matches_its_definition(spark):
     rnd = random.Random(9)
     texts = [" ".join(rnd.choice(["a", "b", "c", "d"]) for _ in range(rnd.choice([1, 3, 4, 11, 12, 60]))) for _ in range(40)]
