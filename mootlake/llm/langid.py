@@ -5,9 +5,11 @@ training documents use it; learned transitions tie neighbours.  Forward-backward
 languages, so code-switched texts get labels word by word; a document gets the language with the greatest sum of word
 probabilities, and that mean probability as its score.
 
-Training: a sample of at most ``PER_LANGUAGE`` documents per language, those with the least hash of their id among
-texts of up to ``SAMPLE_CHARS`` characters, whose lines become chains; lines of different languages are spliced at random, so that switches are seen.  The sample is the only thing
-that reaches the driver.  Prediction runs in tasks, in batches, over whole texts.  Chains are cut after ``CHAIN`` words.
+Training: a sample of at most ``PER_LANGUAGE`` documents of every language, fewer if there are so many languages that the
+sample would pass ``SAMPLE_ROWS`` rows, but one at least.  They are those with the least hash of their id among texts of up
+to ``SAMPLE_CHARS`` characters; a language without such a text is learned from its shortest one, whole.  Their lines become
+chains; lines of different languages are spliced at random, so that switches are seen.  The sample is the only thing that
+reaches the driver.  Prediction runs in tasks, in batches, over whole texts.  Chains are cut after ``CHAIN`` words.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; ties go to the language first in order of
 code points; without training rows every text is ``und``.
@@ -26,7 +28,7 @@ from .wordhash import LETTERS, factorize, features
 
 PER_LANGUAGE = 200
 SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 64
+SAMPLE_ROWS = 12_800
 CHAIN = 64
 BITS = 17
 EPOCHS = 20
@@ -40,12 +42,17 @@ def tokens(text: str | None) -> list[str]:
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> pd.DataFrame:
-    """At most ``per_language`` rows (text, lang) of each of the MAX_LANGUAGES most frequent languages."""
-    rows = labelled.where(F.col("lang").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS))
-    common = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    """Up to ``per_language`` rows (text, lang) of every language, about SAMPLE_ROWS in all; one of each at least."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sizes = rows.groupBy("lang").agg(F.min(F.char_length("text")).alias("least")).collect()
+    share = max(1, min(per_language, SAMPLE_ROWS // max(len(sizes), 1)))
+    long = [r["lang"] for r in sizes if r["least"] > SAMPLE_CHARS]
+    fits = F.char_length("text") <= SAMPLE_CHARS
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text"))
-    kept = (rows.select("doc_id", "lang", "text").where(F.col("lang").isin(common)).withColumn("k", F.row_number().over(order))
-            .where(F.col("k") <= per_language).select("lang", "text"))
+    kept = rows.where(fits).withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).select("lang", "text")
+    if long:
+        shortest = F.min_by("text", F.struct(F.char_length("text"), F.xxhash64(F.col("doc_id").cast("string")))).alias("text")
+        kept = kept.unionByName(rows.where(F.col("lang").isin(long)).groupBy("lang").agg(shortest))
     return kept.toPandas().sort_values(["lang", "text"], kind="stable").reset_index(drop=True)
 
 

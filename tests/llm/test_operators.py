@@ -420,6 +420,14 @@ def test_languages_on_held_out_documents(spark):
     assert [x[1] for x in switched[:15]].count("en") >= 13 and [x[1] for x in switched[-15:]].count("de") >= 13
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i * 3 + j, f"wort{chr(97 + i // 9)}{chr(97 + i % 9)}x " * 5, f"l{i:02d}", "s", 0) for i in range(70) for j in range(1 + (i < 65))]
+    rows += [(999, "langertext " * 2_500, "zz", "s", 0), (1000, None, "nn", "s", 0)]
+    got = langid.sample(spark.createDataFrame(rows, DOCS))
+    assert set(got["lang"]) == {f"l{i:02d}" for i in range(70)} | {"zz"}
+    assert len(got[got["lang"] == "zz"]["text"].iloc[0]) == 27_500 and len(got) == 136
+
+
 def test_forward_backward_is_exact():
     import itertools
 
