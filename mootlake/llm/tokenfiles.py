@@ -18,8 +18,12 @@ Extra columns are ignored.  Special tokens written out in a text become their id
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -33,8 +37,8 @@ END_ID = 1
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 2_000
-SLICE_BYTES = 2 << 20
-CACHED_IDS = 1 << 22
+SLICE_BYTES = 4 << 20
+CACHED_PARTS, CACHED_IDS = 600_000, 1 << 22
 LAYOUT = "part int, doc_id {key}, n_tokens bigint, before bigint, tokens array<int>"
 
 
@@ -45,60 +49,144 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# Parts of these characters alone are the same under every edition of Unicode: composed, one lower case each, letters or not.
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+_WORD = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"  # the letters among them
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves, others for 256 and on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
 class Encoder:
-    """Ids of texts, through the ids of their distinct parts."""
+    """Ids of texts, through the ids of their distinct parts.
+
+    A plain part is cut into pieces as the vocabulary's own rule cuts it (``pieces``, the pattern of its file), and each distinct
+    piece goes to the vocabulary's model.  All other parts, and parts that may hold a special token, go through the whole
+    tokenizer.  What was learned stays for the next slices and tasks of a worker, up to ``CACHED_PARTS`` and ``CACHED_IDS``; then
+    those met first, and so most often, stay.
+    """
 
     def __init__(self, name: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def learn(self, parts: list[str]) -> None:
-        made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        lists = [e.ids for e in made]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
-        self.ids = np.r_[self.ids, flat]
-        self.starts = np.r_[self.starts, self.starts[-1] + np.cumsum(lengths)]
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end, the end id after each, and their counts."""
-        if len(self.ids) > CACHED_IDS:
-            self.forget()
-        known, order, sizes = len(self.number), [], np.zeros(len(texts), np.int64)
-        number = self.number
-        for i, text in enumerate(texts):
-            if text:
-                # Bytes split at ASCII white space alone; str.split knows more.
-                found = text.encode().split()
-                sizes[i] = len(found)
-                order += [number.setdefault(w, len(number)) for w in found]
+        path = vocabulary(name)
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        with open(path, encoding="utf-8") as file:
+            layout = json.load(file)
+        self.pattern = regex.compile(layout["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = re.compile("|".join(re.escape(t["content"][:2]) for t in layout["added_tokens"]) or r"(?!)")
+        self.letters = _byte_letters()
+        self.parts = _Known()
+        self.pieces: dict[str, bytes] = {}
+
+    def cut(self, part: str) -> list[str] | None:
+        """Pieces of a plain part in lower case; None for any other."""
+        if _PLAIN.fullmatch(part) and not self.special.search(part):
+            return self.pattern.findall(part.lower())
+        return None if part else []
+
+    def cuts(self, parts) -> list[list[str] | None]:
+        """Pieces of each part of an Arrow array; words with marks behind them, nearly all, are cut in Arrow."""
+        import pyarrow.compute as pc
+
+        core = pc.utf8_rtrim(parts, ",.!?;:")
+        word = pc.match_substring_regex(core, f"^[{_WORD}]+$")
+        behind = pc.subtract(pc.binary_length(parts), pc.binary_length(core))
+        columns = [c.to_numpy(zero_copy_only=False).tolist() for c in (parts, pc.utf8_lower(core), word, behind)]
+        return [([low, part[-n:]] if n else [low]) if plain else self.cut(part) for part, low, plain, n in zip(*columns, strict=True)]
+
+    def learn(self, parts) -> None:
+        cuts = self.cuts(parts)
+        others = [i for i, c in enumerate(cuts) if c is None]
+        others = iter(self.whole.encode_batch_fast([parts[i].as_py() for i in others], add_special_tokens=False))
+        known, model, letters, made = self.pieces, self.model.tokenize, self.letters, []
+        for c in cuts:
+            if c is None:
+                made.append(_packed(next(others).ids))
+                continue
+            found = b""
+            for p in c:
+                ids = known.get(p)
+                if ids is None:
+                    ids = known[p] = _packed([t.id for t in model(p if p.isascii() else p.encode().decode("latin-1").translate(letters))])
+                found += ids
+            made.append(found)
+        self.parts.add(made)
+        if len(known) > CACHED_PARTS:
+            self.pieces = dict(islice(known.items(), CACHED_PARTS // 2))
+
+    def encode(self, texts, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (an Arrow array) end to end, the end id after each, and their counts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        sizes = np.diff(found.offsets.to_numpy())
+        coded = found.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = self.parts.number
+        known = len(number)
+        at = np.array([number.setdefault(w, len(number)) for w in distinct], np.int64)
         if len(number) > known:
-            self.learn([w.decode() for w in islice(number, known, None)])
-        part = np.array(order, np.int64)
-        lengths = np.diff(self.starts)[part]
+            self.learn(coded.dictionary.filter(pa.array(at >= known)))
+        part = at[coded.indices.to_numpy()] if len(at) else np.zeros(0, np.int64)
+        starts = self.parts.starts
+        lengths = np.diff(starts)[part]
         owner = np.repeat(np.arange(len(texts)), sizes)
         counts = np.bincount(owner, lengths, len(texts)).astype(np.int64) + 1
         out = np.full(int(counts.sum()), end, np.int32)
-        # A part's ids start behind all ids of earlier parts and the end ids of earlier texts.
-        inside = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        out[np.arange(len(inside)) + np.repeat(owner, lengths)] = self.ids[np.repeat(self.starts[part], lengths) + inside]
+        # The ids of a text stand behind the end ids of the texts before it.
+        out[np.arange(int(lengths.sum())) + np.repeat(owner, lengths)] = self.parts.ids[_gathered(starts[part], lengths)]
+        self.parts.keep_within()
         return out, counts
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class _Known:
+    """Numbered keys, and the ids of each, end to end."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, packed: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), np.int32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+
+    def keep_within(self) -> None:
+        if len(self.number) > CACHED_PARTS or len(self.ids) > CACHED_IDS:
+            kept = min(CACHED_PARTS // 2, int(np.searchsorted(self.starts, CACHED_IDS // 2)), len(self.number))
+            self.number = dict(islice(self.number.items(), kept))
+            self.ids, self.starts = self.ids[:self.starts[kept]].copy(), self.starts[:kept + 1].copy()
+
+
+@lru_cache(maxsize=1)
+def _encoder(name: str) -> Encoder:
+    return Encoder(name)
+
+
+def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of every run, end to end."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
 def _encoded(batches: Iterator, name: str, end: int) -> Iterator:
     import pyarrow as pa
     from pyspark import TaskContext
 
-    encoder, before, part = Encoder(name), 0, TaskContext.get().partitionId()
+    encoder, before, part = _encoder(name), 0, TaskContext.get().partitionId()
     for whole in batches:
         for batch in slices(whole, SLICE_BYTES):
-            ids, counts = encoder.encode(batch.column("text").to_pylist(), end)
+            ids, counts = encoder.encode(batch.column("text"), end)
             ends = np.cumsum(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(counts), part, np.int32)), batch.column("doc_id"), pa.array(counts), pa.array(before + ends - counts),

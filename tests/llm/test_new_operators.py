@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -37,19 +38,29 @@ def encoded(texts):
     return [e.ids + [1] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def raw(texts):
+    return pa.array(texts, pa.string())
+
+
 def test_parts_are_encoded_like_whole_texts():
     rng = random.Random(3)
+    plain = "abcdeFGH'sTlLvm0129.,!?-_<|>éÀßŸıŁ×÷²½ſŉ  "
+    texts = ["".join(rng.choice(plain) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    texts += [chr(i) + " x" + chr(i) + "y" for i in range(1, 0x3000) if not 0xD800 <= i < 0xE000]
+    ids, counts = tokenfiles.Encoder("word_bpe_49k.json").encode(raw(texts), 1)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == encoded(texts)
     letters = "abAB'sé́İΣσς1２‍👍🏽-<|>_ 　 \n\t\x0b\x1c字ﬀ가"
     texts = HARD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(500)]
-    ids, counts = tokenfiles.Encoder("word_bpe_49k.json").encode(texts, 1)
+    ids, counts = tokenfiles.Encoder("word_bpe_49k.json").encode(raw(texts), 1)
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == encoded(texts)
 
 
 def test_cache_is_bounded_and_harmless(monkeypatch):
-    monkeypatch.setattr(tokenfiles, "CACHED_IDS", 3)
+    monkeypatch.setattr(tokenfiles, "CACHED_IDS", 9)
+    monkeypatch.setattr(tokenfiles, "CACHED_PARTS", 5)
     encoder = tokenfiles.Encoder("word_bpe_49k.json")
     for texts in (["a b c d e"], HARD, ["c d"], HARD):
-        ids, counts = encoder.encode(texts, 1)
+        ids, counts = encoder.encode(raw(texts), 1)
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == encoded(texts)
 
 
