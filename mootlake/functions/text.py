@@ -49,7 +49,7 @@ def fold_yo(c: Column) -> Column:
 def word_set(c: Column) -> Column:
     """Distinct words of the normalised text; NULL, an absent key, has none and repeats nothing.
 
-    A source that tells an explicit JSON null from an absent key hands the former over as the text "None".
+    An explicit JSON null is the text "None" instead; ``items.same_text`` tells the two apart.
     """
     words = F.split(normalize(F.coalesce(c, F.lit(""))), r"(?U)\s+")
     return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
@@ -183,6 +183,25 @@ def strip_front_matter(md: Column) -> Column:
     return F.when(md.rlike(block), body).otherwise(md)
 
 
+def json_text(c: Column) -> Column:
+    """A string as a JSON literal, NULL as ``null``."""
+    listed = F.to_json(F.array(c))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def front_matter(title: Column, date: Column, category: Column, attendees: Column, stem: Column) -> Column:
+    """The metadata block and the heading that a written summary begins with."""
+    names = F.array_join(F.transform(attendees, json_text), ", ")
+    return F.concat(F.lit("---\ntitle: "), json_text(title), F.lit("\ndate: "), date.cast("string"), F.lit("\ncategory: "), json_text(category),
+                    F.lit("\nattendees: ["), names, F.lit("]\ntags: [meeting, "), F.lower(category), F.lit(']\nsource: "[['), stem,
+                    F.lit('_speakers]]"\n---\n\n# '), title, F.lit("\n\n"))
+
+
+def has_tokens(c: Column) -> Column:
+    """Whether a text holds anonymisation tokens."""
+    return F.coalesce(c.rlike(rf"(?U)\b{fixed.TOKEN}\b"), F.lit(False))
+
+
 def clean_title(raw: Column) -> Column:
     plain = strip(F.regexp_replace(raw, r"(?s)<think>.*?</think>", ""))
     line = strip(F.regexp_extract(plain, r"^[^\r\n]*", 0))

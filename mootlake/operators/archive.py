@@ -67,21 +67,41 @@ def interrupted_runs(files: DataFrame, inbox: DataFrame) -> DataFrame:
             .join(waiting, "stem", "left_anti").select("dir", "stem", "path"))
 
 
-def meeting_files(files: DataFrame, meetings: DataFrame) -> DataFrame:
-    """Files whose name starts with a meeting's stem, in the meeting's folder.
+def stem_lengths(meetings: DataFrame) -> list[int]:
+    """The lengths that occur among the stems; a file name is bounded by the file system, so there are a few hundred at most."""
+    return sorted(r[0] for r in meetings.select(F.length("stem")).distinct().collect() if r[0])
+
+
+def named_after(files: DataFrame, meetings: DataFrame, keep: list[str]) -> DataFrame:
+    """Files (path) beside the meetings (dir, stem) whose stem their name starts with.
 
-    Each file name offers all its prefixes (a name is bounded by the file
-    system), so the prefix test is an equi-join even for a crowded folder.
+    Each name offers its beginnings of the lengths that occur as stems, so the prefix test is an equi-join even in a crowded
+    folder, and a name makes as many rows as there are such lengths.
     """
     name = file_name(F.col("path"))
-    offered = files.filter(~F.array_contains(F.split("path", "/"), "intermediate")).select(
-        F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), name.alias("name"), F.explode(F.transform(
-            F.sequence(F.lit(1), F.length(name)), lambda n: F.substring(name, F.lit(1), n))).alias("stem"))
+    lengths = stem_lengths(meetings)
+    if not lengths:
+        lengths = [1]
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(name))
+    offered = files.select(F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), name.alias("name"), *keep,
+                           F.explode(F.transform(fits, lambda n: F.substring(name, F.lit(1), n))).alias("stem"))
+    return offered.join(meetings, ["dir", "stem"])
+
+
+def meeting_files(files: DataFrame, meetings: DataFrame) -> DataFrame:
+    """Files whose name starts with a meeting's stem, in the meeting's folder."""
+    live = files.filter(~F.array_contains(F.split("path", "/"), "intermediate"))
     primary = F.array(*[F.concat("stem", F.lit(s)) for s in ("_summary.md", "_speakers.txt", "_anonymized_speakers.txt")])
-    return offered.join(meetings.select("dir", "stem"), ["dir", "stem"]).select(
+    return named_after(live, meetings.select("dir", "stem"), []).select(
         "dir", "stem", "name", F.array_contains(primary, F.col("name")).alias("is_primary"))
 
 
+def recognition_files(files: DataFrame, meetings: DataFrame) -> DataFrame:
+    """meeting_id, path of the JSON files that may hold a meeting's segments: those named after it."""
+    own = files.filter(F.col("path").endswith(".json"))
+    return named_after(own, meetings.select("meeting_id", "dir", "stem"), ["path"]).select("meeting_id", "stem", "path")
+
+
 def sidecar_counts(meetings: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Entries of the action and decision files; broken or missing files count 0."""
     entries = F.from_json("body", "array<string>", {"mode": "PERMISSIVE"})
@@ -91,3 +111,10 @@ def sidecar_counts(meetings: DataFrame, sidecars: DataFrame) -> DataFrame:
     count = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long").alias(c)
     return meetings.select("meeting_id").join(counted, "meeting_id", "left").select(
         "meeting_id", count("n_actions"), count("n_decisions"))
+
+
+def category_pairs(known: DataFrame, meetings: DataFrame) -> DataFrame:
+    """The category tree (category, subcategory) with the pairs that meetings add."""
+    seen = meetings.select(F.coalesce(filled(F.col("category")), F.lit(fixed.DEFAULT_CATEGORY)).alias("category"),
+                           filled(F.col("subcategory")).alias("subcategory")).filter("subcategory IS NOT NULL").distinct()
+    return known.unionByName(seen.join(known, ["category", "subcategory"], "left_anti")).distinct()

@@ -9,21 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.text import (clean_response, filled, first_filled, is_null_text, is_speaker_label, normalize,
+from ..functions.text import (clean_response, filled, first_filled, has_tokens, is_null_text, is_speaker_label, json_text, normalize,
                               strip, strip_front_matter)
-from ..session import spread
+from ..session import spread, stage_table
 from . import scan
+from .contained import contained
 from .dedup import THRESHOLD, dedup_greedy, distinct_texts
 
-_ITEM_FIELDS = ["section", "what", "topic", "decision", "task", "blocker", "risk", "question", "observation",
-                "status", "priority", "reasoning", "notes", "source_time", "evidence", "quote", "context", "owner",
-                "deadline", "confidence", "severity", "root_cause", "timing", "depends_on", "impact",
-                "why_it_matters", "details"]
-_ITEM = T.StructType([T.StructField(f, T.StringType()) for f in _ITEM_FIELDS] + [
-    T.StructField("speakers", T.ArrayType(T.StringType())), T.StructField("inferred", T.BooleanType()),
-    T.StructField("order", T.LongType()),
-    T.StructField("positions", T.ArrayType(T.StructType([
-        T.StructField("participant", T.StringType()), T.StructField("stance", T.StringType())])))])
+# An item keeps every field it came with; a field that is absent is not in the map, an explicit null is there without a value.
+_ITEM = T.MapType(T.StringType(), T.StringType())
 _SPAN = T.StructType([T.StructField("start", T.StringType()), T.StructField("end", T.StringType())])
 RESPONSE = T.StructType(
     [T.StructField("time_range", _SPAN), T.StructField("summary", T.StringType()),
@@ -48,32 +42,46 @@ def decode_extractions(responses: DataFrame) -> DataFrame:
                          F.when(bad, F.substring("raw", 1, 500)).otherwise(F.col("r.summary")).alias("summary"), *plain)
 
 
+_SHARED = ["owner", "deadline", "confidence", "evidence", "quote", "source_time", "severity", "priority",
+           "status", "reasoning", "notes", "section", "context"]
+
+
 def merge_chunks(decoded: DataFrame) -> DataFrame:
-    """All items of all chunks in one long table, one scan for the eleven kinds."""
-    shared = ["owner", "deadline", "confidence", "evidence", "quote", "source_time", "severity", "priority",
-              "status", "reasoning", "notes", "section", "speakers", "inferred"]
+    """All items of all chunks in one long table, one scan for the eleven kinds.
 
-    def typed(kind: str, key: str) -> Column:
+    ``fields`` holds every field of the item; the ones that operators ask for stand beside it as columns.  Plain texts have no
+    fields.
+    """
+    def typed(kind: str) -> Column:
         return F.transform(F.coalesce(F.col(kind), F.array()), lambda it, i: F.struct(
-            F.lit(kind).alias("kind"), i.cast("long").alias("item_no"), it[key].alias("key_text"),
-            *[it[c].alias(c) for c in shared]))
+            F.lit(kind).alias("kind"), i.cast("long").alias("item_no"), it.alias("fields"), F.lit(None).cast("string").alias("plain")))
 
     def plain(kind: str) -> Column:
         return F.transform(F.coalesce(F.col(kind), F.array()), lambda it, i: F.struct(
-            F.lit(kind).alias("kind"), i.cast("long").alias("item_no"), it.alias("key_text"),
-            *[F.lit(None).cast({"speakers": "array<string>", "inferred": "boolean"}.get(c, "string")).alias(c)
-              for c in shared]))
+            F.lit(kind).alias("kind"), i.cast("long").alias("item_no"), F.lit(None).cast(_ITEM).alias("fields"), it.alias("plain")))
+
+    every = F.concat(*[typed(k) for k in fixed.ITEM_KEYS], *[plain(k) for k in fixed.PLAIN_KINDS])
+    rows = decoded.select("meeting_id", "chunk_id", F.explode(every).alias("it")).select("meeting_id", "chunk_id", "it.*")
+    keys = F.create_map(*[F.lit(x) for x in chain(*fixed.ITEM_KEYS.items())])
+    given = lambda c: F.try_element_at("fields", F.lit(c))
+    return rows.withColumn("key", F.try_element_at(keys, "kind")).select(
+        "meeting_id", "chunk_id", "kind", "item_no", F.coalesce("plain", F.try_element_at("fields", "key")).alias("key_text"),
+        *[given(c).alias(c) for c in _SHARED], F.from_json(given("speakers"), "array<string>").alias("speakers"),
+        given("inferred").try_cast("boolean").alias("inferred"), "fields")
 
-    every = F.concat(*[typed(k, v) for k, v in fixed.ITEM_KEYS.items()], *[plain(k) for k in fixed.PLAIN_KINDS])
-    return decoded.select("meeting_id", "chunk_id", F.explode(every).alias("it")).select(
-        "meeting_id", "chunk_id", "it.*")
+
+def same_text() -> Column:
+    """What near duplicates of an item are judged by: an explicit null is the word, an absent text is empty."""
+    keys = F.create_map(*[F.lit(x) for x in chain(*fixed.ITEM_KEYS.items())])
+    told_null = F.map_contains_key("fields", F.try_element_at(keys, "kind")) & F.col("key_text").isNull()
+    return F.when(F.coalesce(told_null, F.lit(False)), "None").otherwise(F.col("key_text"))
 
 
 def deduplicate(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Near duplicates of all keyed kinds at once; section statuses are merged apart."""
-    keyed = items.filter(~F.col("kind").isin("section_statuses", *fixed.PLAIN_KINDS)).withColumn(
-        "position", F.struct("chunk_id", "item_no"))
-    return dedup_greedy(keyed, ["meeting_id", "kind"], "position", "key_text", threshold).drop("position")
+    keyed = items.filter(~F.col("kind").isin("section_statuses", *fixed.PLAIN_KINDS)).withColumns(
+        {"position": F.struct("chunk_id", "item_no"), "same_text": same_text()})
+    return dedup_greedy(keyed, ["meeting_id", "kind"], "position", "same_text", threshold).drop("position", "same_text")
 
 
 def distinct_topics(items: DataFrame) -> DataFrame:
@@ -85,9 +93,10 @@ def distinct_topics(items: DataFrame) -> DataFrame:
 def merge_section_status(sections: DataFrame) -> DataFrame:
     """One row per section: first filled value of each field, notes gathered in order.
 
-    A note that was already taken is contained from then on, so its copies leave
-    with a partial aggregate.  Only texts that start or end with the separator's
-    own characters can lose them when joined; those keep every position.
+    A note is left out when what was gathered before contains it, that is when an earlier note contains it: notes that were
+    left out themselves lie inside one that was not.  So the notes are tested in pairs found by their grams (see
+    ``contained``), and only what stays is joined.  Notes with a bar, or with blanks at an end, can also lie across the joint of two
+    others; sections that have one are gathered one by one.
     """
     keyed = sections.withColumn("section_key", normalize(F.coalesce("section", F.lit("")))).filter(
         F.col("section_key") != "")
@@ -98,14 +107,21 @@ def merge_section_status(sections: DataFrame) -> DataFrame:
           for c in ("status", "priority", "source_time", "evidence")])
     texts = keyed.select(*key, "ord", F.explode(F.array(*[
         F.struct(F.lit(f).alias("field"), F.col(f).alias("t")) for f in ("reasoning", "notes")])).alias("x"))
-    edged = F.when(F.btrim("x.t", F.lit(" |")) != F.col("x.t"), F.col("ord"))
-    once = (texts.filter(filled(F.col("x.t")).isNotNull()).groupBy(*key, "x.field", "x.t", edged.alias("edged"))
-            .agg(F.min("ord").alias("ord")))
-    folded = once.groupBy(*key, "field").agg(F.aggregate(
+    notes = texts.filter(filled(F.col("x.t")).isNotNull()).select(*key, "x.field", "x.t", "ord")
+    across = F.contains("t", F.lit("|")) | (F.btrim("t", F.lit(" ")) != F.col("t"))
+    # Copies leave with a partial aggregate; those that may lie across a joint keep every position.
+    once = stage_table(notes.groupBy(*key, "field", "t", F.when(across, F.col("ord")).alias("edged"))
+                       .agg(F.min("ord").alias("ord")), "notes")
+    odd = once.filter("edged IS NOT NULL").select(*key, "field").distinct()
+    group = [*key, "field"]
+    plain = once.join(odd, group, "left_anti").drop("edged")
+    kept = plain.join(contained(plain, group, "ord", "t"), [*group, "ord"], "left_anti")
+    joined = scan.ordered_concat(kept, group, "ord", "t", "t", " | ")
+    folded = once.join(odd, group, "left_semi").groupBy(*group).agg(F.aggregate(
         F.array_sort(F.collect_list(F.struct("ord", "t"))), F.lit(""),
         lambda acc, x: F.when(F.contains(acc, x["t"]), acc).when(acc == "", x["t"])
         .otherwise(F.btrim(F.concat(acc, F.lit(" | "), x["t"]), F.lit(" |")))).alias("t"))
-    wide = folded.groupBy(*key).agg(*[
+    wide = joined.select(*group, "t").unionByName(folded).groupBy(*key).agg(*[
         F.max(F.when(F.col("field") == f, F.col("t"))).alias(f) for f in ("reasoning", "notes")])
     return firsts.join(wide, key, "left")
 
@@ -246,6 +262,56 @@ def summary_payload(trimmed: DataFrame) -> DataFrame:
         *[c for c in lists.columns if c != "meeting_id"])).alias("payload"))
 
 
+MODES = ("full", "compact", "minimal")
+
+
+def meta_facts(decoded: DataFrame, items: DataFrame, transcripts: DataFrame | None = None) -> DataFrame:
+    """What is known about each meeting without a model: type, context, times, participants, actions left open, token leftovers."""
+    meetings = decoded.select("meeting_id").distinct()
+    names = participants(items).groupBy("meeting_id").agg(F.array_sort(F.collect_set("participant")).alias("participants"))
+    open_ends = orphan_stats(items.filter(F.col("kind") == "action_items"))
+    facts = (meetings.join(meeting_type_vote(decoded), "meeting_id", "left").join(meeting_context(decoded), "meeting_id", "left")
+             .join(meeting_span(decoded), "meeting_id", "left").join(names, "meeting_id", "left").join(open_ends, "meeting_id", "left"))
+    if transcripts is None:
+        facts = facts.withColumn("leftovers", F.lit(False))
+    else:
+        found = transcripts.groupBy("meeting_id").agg(F.bool_or(has_tokens(F.col("text"))).alias("leftovers"))
+        facts = facts.join(found, "meeting_id", "left")
+    whole = lambda c: F.coalesce(c, F.lit(0))
+    return facts.select("meeting_id", F.struct(
+        F.col("meeting_type").alias("meeting_type_key"), F.col("label").alias("meeting_type_label"), "meeting_context", "time_start", "time_end",
+        F.coalesce("participants", F.array().cast("array<string>")).alias("participants"), whole("n_actions").alias("action_items_total"),
+        whole("n_orphaned").alias("action_items_orphaned"), whole("orphan_pct").alias("orphan_pct"),
+        F.coalesce("leftovers", F.lit(False)).alias("anonymizer_artifacts_present")).alias("meta"))
+
+
+def final_payload(decoded: DataFrame, items: DataFrame, facts: DataFrame, mode: str) -> DataFrame:
+    """The whole input of the final report, one JSON text per meeting: its ``meta_facts``, summaries of the chunks in order, and the
+    items of every kind with all their fields.
+
+    ``full`` takes every item, ``compact`` and ``minimal`` the best ones.  The text is one row because it is one request.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode}")
+    placed = items.withColumn("item_no", F.struct("chunk_id", "item_no"))
+    chosen = {"full": lambda t: t.withColumn("rank", F.lit(None).cast("long")), "compact": trim_compact, "minimal": trim_minimal}[mode](placed)
+    entry = F.coalesce(F.to_json("fields", {"ignoreNullFields": "false"}), json_text(F.col("key_text")))
+    told = chosen.select("meeting_id", "kind", F.coalesce("rank", F.lit(0)).alias("r"), "item_no", entry.alias("entry"))
+
+    def listed(kind: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("r", "item_no", "entry"))))
+        return F.concat(F.lit(f'"{kind}": ['), F.array_join(F.transform(rows, lambda x: x["entry"]), ", "), F.lit("]"))
+
+    kinds = [*fixed.ITEM_KEYS, *fixed.PLAIN_KINDS]
+    lists = told.groupBy("meeting_id").agg(F.concat_ws(", ", *[listed(k) for k in kinds]).alias("lists"))
+    summaries = decoded.filter(filled(F.col("summary")).isNotNull()).groupBy("meeting_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", json_text(F.col("summary")).alias("s")))), lambda x: x["s"]), ", ").alias("summaries"))
+    nothing = ", ".join(f'"{k}": []' for k in kinds)
+    return facts.join(summaries, "meeting_id", "left").join(lists, "meeting_id", "left").select("meeting_id", F.concat(
+        F.lit('{"meta": '), F.to_json("meta", {"ignoreNullFields": "false"}), F.lit(', "chunk_summaries": ['), F.coalesce("summaries", F.lit("")), F.lit("], "),
+        F.coalesce("lists", F.lit(nothing)), F.lit("}")).alias("payload"))
+
+
 def first_texts(doc: Column, keys: list[str], limit: int) -> Column:
     """Texts of a JSON array whose entries are strings or objects with one of ``keys``."""
     entries = F.from_json(doc, "array<string>")

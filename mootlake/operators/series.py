@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import filled, is_speaker_label, strip
+from ..session import stage_table
+from . import scan
 
 PULSE_DAYS = 90
 SILENT_DAYS = 14
@@ -234,3 +236,46 @@ def archive_by_category(meetings: DataFrame) -> DataFrame:
     return meetings.groupBy(_series().alias("series")).agg(
         F.count(F.lit(1)).alias("n_meetings"), F.max("date").alias("last_date"),
         F.count_if(F.col("n_actions") > 0).alias("n_detailed"))
+
+
+def confidence_profile(proposals: DataFrame) -> DataFrame:
+    """How sure the extractor was, by kind, with the due dates known."""
+    level = F.coalesce(filled(F.lower("confidence")), F.lit("none"))
+    return proposals.groupBy("kind", level.alias("confidence")).agg(F.count(F.lit(1)).alias("n"), F.count("due").alias("n_due"))
+
+
+# --- ordered reports -------------------------------------------------------------
+
+
+def newest_first(rows: DataFrame, order: list[str]) -> DataFrame:
+    """All rows, newest first (``order`` descending, unknown last), with their ``rank``.
+
+    A range sort and one offset per task: no window puts the report into a single task.
+    """
+    by = [F.col(c).desc_nulls_last() for c in order]
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = stage_table(placed.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()}), "report")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row per task
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    rank = F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1) + 1
+    return placed.join(offsets, "__part").withColumn("rank", rank).drop("__part", "__place", "__before")
+
+
+def review_report(proposals: DataFrame) -> DataFrame:
+    """Proposals of each meeting in the extractor's order."""
+    return scan.row_numbers(proposals, ["meeting_id"], "idx", "rank", then=["id"])
+
+
+def archive_index(meetings: DataFrame) -> DataFrame:
+    """The archive, newest first, as a whole and inside each category."""
+    rows = meetings.select(_series().alias("category"), "stem", "date", *[c for c in ("mtime",) if c in meetings.columns])
+    order = [c for c in ("date", "mtime", "stem") if c in rows.columns]
+    ranked = newest_first(rows, order)
+    # Inside a category the order is that of the whole, so the whole rank is an integer position to count by.
+    return scan.row_numbers(ranked, ["category"], "rank", "rank_in_category")
+
+
+def last_entries(journal: DataFrame, n: int) -> DataFrame:
+    """The newest entries of the journal."""
+    return journal.orderBy(F.desc("seq"), F.desc("proposal_id")).limit(n)

@@ -6,7 +6,7 @@ the caller's business (see ``sources.snapshots``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -24,7 +24,10 @@ def upsert_meetings(old: DataFrame, batch: DataFrame) -> DataFrame:
     """
     key = ["dir", "stem"]
     last = lambda c: F.max_by(c, "batch_no")
+    # Like the category these follow the last message, whatever it says.
+    more = [c for c in ("subcategory", "audio") if c in old.columns and c in batch.columns]
     new = batch.groupBy(*key).agg(
+        *[F.coalesce(last(c), F.lit("")).alias(c) for c in more],
         F.coalesce(filled(last("title")), F.first("stem")).alias("title"),
         F.coalesce(last("category"), F.lit("")).alias("category"),
         F.max_by(F.struct("date", F.coalesce("date_source", F.lit("")).alias("source")),
@@ -33,14 +36,42 @@ def upsert_meetings(old: DataFrame, batch: DataFrame) -> DataFrame:
     o, n = old.alias("o"), new.alias("n")
     pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
     return o.join(n, key, "full_outer").select(
-        *key, pick("title"), pick("category"), F.coalesce("n.d.date", "o.date").alias("date"),
+        *key, pick("title"), pick("category"), *[pick(c) for c in more], F.coalesce("n.d.date", "o.date").alias("date"),
         F.when(F.col("n.d").isNotNull(), F.col("n.d.source")).otherwise(F.coalesce("o.date_source", F.lit(""))).alias("date_source"),
         pick("content_hash"))
 
 
+def fill_meta(old: DataFrame, batch: DataFrame) -> DataFrame:
+    """Meta documents with their gaps filled by later messages; what is known stays.
+
+    Here precedence differs from the register's: title, category and subcategory of the document win even when empty, a date is
+    taken only where there is none, and only a new audio file replaces the old one.  Absent fields are NULL.  Of several messages
+    the first fills a gap.
+    """
+    key = ["dir", "stem"]
+    first = lambda c, given: F.min_by(c, F.when(given, F.col("batch_no")))
+    dated = F.struct("date", F.coalesce("date_source", F.lit("none")).alias("source"))
+    new = batch.groupBy(*key).agg(
+        *[F.min_by(F.coalesce(c, F.lit("")), "batch_no").alias(c) for c in ("category", "subcategory")],
+        F.max_by("audio", F.when(filled(F.col("audio")).isNotNull(), F.col("batch_no"))).alias("audio"),
+        first(dated, F.col("date").isNotNull()).alias("d"))
+    o, n = old.alias("o"), new.alias("n")
+    keep = lambda c: F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c)
+    gap = F.col("o.date").isNull() & F.col("n.d").isNotNull()
+    return o.join(n, key, "full_outer").select(
+        *key, F.coalesce("o.title", "stem").alias("title"), keep("category"), keep("subcategory"),
+        F.coalesce("n.audio", "o.audio").alias("audio"), F.when(gap, F.col("n.d.date")).otherwise(F.col("o.date")).alias("date"),
+        F.when(gap, F.col("n.d.source")).otherwise(F.col("o.date_source")).alias("date_source"))
+
+
 def action_fields(actions: DataFrame) -> DataFrame:
-    """Extractor rows as proposals: fallbacks, kind, identity; empty texts are dropped."""
-    has = lambda c: F.col(c) if c in actions.columns else F.lit(None).cast("string")
+    """Extractor rows as proposals: fallbacks, kind, identity; empty texts are dropped.
+
+    Fields the extractor did not send are false, empty or, for the time, unknown.
+    """
+    def has(c: str, kind: str = "string") -> Column:
+        return F.col(c) if c in actions.columns else F.lit(None).cast(kind)
+
     text = first_filled(has("task"), has("text"))
     return actions.withColumn("__text", text).filter(filled(strip("__text")).isNotNull()).select(
         "meeting_id", source_key(F.col("__text")).alias("src_key"), "idx", strip("__text").alias("text"),
@@ -48,6 +79,8 @@ def action_fields(actions: DataFrame) -> DataFrame:
         F.coalesce(filled(has("kind")), task_or_minor(F.col("owner"), F.col("confidence"))).alias("kind"),
         F.coalesce(first_filled(has("evidence"), has("quote")), F.lit("")).alias("quote"),
         F.coalesce(has("deadline"), F.lit("")).alias("source_deadline"),
+        *[F.coalesce(has(c, "boolean"), F.lit(False)).alias(c) for c in ("owner_matched", "quote_verified")],
+        has("t_sec", "bigint").alias("t_sec"), *[F.coalesce(has(c), F.lit("")).alias(c) for c in ("context", "section", "extractor")],
         *[c for c in actions.columns if c in ("tie", "status")])
 
 

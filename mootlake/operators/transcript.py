@@ -176,11 +176,12 @@ def word_timings(segments: DataFrame) -> DataFrame:
 
 
 def prefer_document(paths: DataFrame) -> DataFrame:
-    """Of several documents of a meeting keep the best-named one.
+    """Of several documents of a meeting the best-named one.
 
-    Input: meeting_id, path.  Order: ``{stem}.json``, ``{stem}.words.json``, others by name.
+    Input: meeting_id, path, and stem where it is not the id.  Order: ``{stem}.json``, ``{stem}.words.json``, others by name.
     """
-    name, stem = file_name(F.col("path")), F.col("meeting_id").cast("string")
+    name = file_name(F.col("path"))
+    stem = F.col("stem") if "stem" in paths.columns else F.col("meeting_id").cast("string")
     rank = (F.when(name == F.concat(stem, F.lit(".json")), 0)
             .when(name == F.concat(stem, F.lit(".words.json")), 1).otherwise(2))
     return paths.groupBy("meeting_id").agg(F.min_by("path", F.struct(rank, name)).alias("path"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_title, strip_leading_front_matter
-from ..operators import dedup, items
+from ..operators import dedup, items, pii
+from ..session import stage_table
+from .fixtures import VIEWS
 from .registry import query
 
 CLEAN = "regexp_replace(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g')"
@@ -69,6 +71,34 @@ def merge_chunks(x):
     return merged(x).select("meeting_id", "chunk_id", "kind", "item_no", "key_text", "owner", "deadline", "confidence", "evidence")
 
 
+@query("merged_fields", f"""
+WITH d AS ({DECODED}), k AS (SELECT meeting_id, chunk_id, unnest(['decisions', 'action_items']) AS kind, j FROM d WHERE j IS NOT NULL),
+i AS (SELECT meeting_id, chunk_id, kind, unnest(from_json(j->kind, '["JSON"]')) AS it, generate_subscripts(from_json(j->kind, '["JSON"]'), 1) - 1 AS item_no FROM k)
+SELECT meeting_id, chunk_id, kind, item_no, field, it->>concat('$.', field) AS value FROM (SELECT *, unnest(json_keys(it)) AS field FROM i) f""")
+def merged_fields(x):
+    """Every field of every item, absent ones left out and explicit nulls kept."""
+    return merged(x).filter("fields IS NOT NULL").select("meeting_id", "chunk_id", "kind", "item_no", F.explode("fields").alias("field", "value"))
+
+
+VIEWS["fx_null_answers"] = """
+SELECT source AS meeting_id, doc_id AS chunk_id, concat('{"decisions": [{"decision": ', CASE n_chars % 4 WHEN 0 THEN 'null' WHEN 1 THEN '""' WHEN 2 THEN '"None!"'
+  ELSE concat('"', lang, ' said so"') END, ', "confidence": "high"}, {"confidence": "low"}, {"decision": "', lang, ' and ', source, '"}]}') AS raw FROM {documents}"""
+
+
+@query("dedup_null_keys", f"""
+WITH d AS (SELECT meeting_id, chunk_id, CAST(raw AS JSON)->'decisions' AS j FROM {{fx_null_answers}}),
+i AS (SELECT meeting_id, chunk_id, unnest(from_json(j, '["JSON"]')) AS it, generate_subscripts(from_json(j, '["JSON"]'), 1) - 1 AS item_no FROM d),
+n AS (SELECT coalesce(meeting_id, '') AS meeting_id, chunk_id, item_no, chunk_id * 10 + item_no AS ord, it->>'decision' AS key_text,
+        CASE WHEN NOT list_contains(json_keys(it), 'decision') THEN '' ELSE coalesce(it->>'decision', 'None') END AS t FROM i),
+{greedy_sql('n', 'meeting_id', 'ord', 't')}
+SELECT meeting_id, chunk_id, item_no, key_text FROM n JOIN gk ON gk.g = n.meeting_id AND gk.ord = n.ord""", recursive=True)
+def dedup_null_keys(x):
+    """Decisions without a text, with an empty one and with an explicit null, which repeats the word."""
+    answers = x["fx_null_answers"].withColumn("meeting_id", F.coalesce("meeting_id", F.lit("")))
+    found = items.deduplicate(items.merge_chunks(items.decode_extractions(answers)))
+    return found.select("meeting_id", "chunk_id", "item_no", "key_text")
+
+
 @query("artefact_actions", f"""{WITH_D}
 SELECT meeting_id, chunk_id, item_no, key_text AS task, owner, deadline, confidence, evidence, 'open' AS status, 'model-a' AS extractor
 FROM i WHERE kind = 'action_items'""")
@@ -228,6 +258,71 @@ def summary_payload(x):
     return items.summary_payload(items.trim_compact(x["fx_items"]))
 
 
+FACTS_SQL = f"""
+v AS (SELECT meeting_id, vote AS type_key FROM (SELECT *, row_number() OVER (PARTITION BY meeting_id ORDER BY n DESC, first) AS rn FROM (
+        SELECT meeting_id, lower(trim(j->>'meeting_type')) AS vote, count(*) AS n, min(chunk_id) AS first FROM d WHERE j->>'meeting_type' <> '' GROUP BY 1, 2) c) r WHERE rn = 1),
+su AS (SELECT meeting_id, chunk_id, CASE WHEN parse_error THEN substring(raw, 1, 500) ELSE j->>'summary' END AS summary, j->'time_range'->>'start' AS s FROM d),
+sp AS (SELECT meeting_id, arg_min(coalesce(s, ''), chunk_id) AS time_start, string_agg(summary, ' / ' ORDER BY chunk_id) AS summaries FROM su WHERE summary <> '' GROUP BY 1),
+pa AS (SELECT meeting_id, string_agg(DISTINCT trim(name), ';' ORDER BY trim(name)) AS participants FROM (
+  SELECT meeting_id, unnest(from_json(speakers, '["VARCHAR"]')) AS name FROM i WHERE kind = 'decisions'
+  UNION ALL SELECT meeting_id, owner FROM i WHERE kind = 'action_items' AND lower(owner) NOT IN ('null', 'none')) n WHERE name <> '' GROUP BY 1),
+ac AS (SELECT meeting_id, count(*) AS total, count(*) FILTER (WHERE owner IS NULL OR lower(owner) IN ('null', 'none', '') OR deadline IS NULL OR lower(deadline) IN ('null', 'none', '')) AS orphaned
+       FROM i WHERE kind = 'action_items' GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY meeting_id, kind ORDER BY CASE WHEN kind = 'decisions' THEN CASE confidence WHEN 'high' THEN 0 ELSE 1 END ELSE 0 END, chunk_id, item_no) AS rk,
+        lower(trim(coalesce(owner, ''))) NOT IN ('null', 'none', '') OR lower(trim(coalesce(deadline, ''))) NOT IN ('null', 'none', '') AS concrete FROM i),
+li AS (SELECT meeting_id, mode, string_agg(key_text, ' | ' ORDER BY rk) FILTER (WHERE kind = 'decisions' AND rk <= CASE mode WHEN 'full' THEN 1e9 WHEN 'compact' THEN 7 ELSE 3 END) AS decisions,
+         string_agg(key_text, ' | ' ORDER BY rk) FILTER (WHERE kind = 'action_items' AND (mode <> 'minimal' OR concrete)) AS actions,
+         count(*) FILTER (WHERE kind = 'mentioned_topics') AS n_topics
+       FROM r, (SELECT unnest(['full', 'compact', 'minimal']) AS mode) m GROUP BY 1, 2),
+z AS (SELECT DISTINCT meeting_id, mode FROM d, (SELECT unnest(['full', 'compact', 'minimal']) AS mode) m)"""
+
+
+def payload_inputs(x):
+    """Answers, items and facts, each made once."""
+    decoded = stage_table(items.decode_extractions(x["fx_responses"]), "decoded")
+    rows = stage_table(items.merge_chunks(decoded), "items")
+    return decoded, rows, stage_table(items.meta_facts(decoded, rows), "facts")
+
+
+@query("final_payload", f"""{WITH_D}, {FACTS_SQL}
+SELECT z.meeting_id, z.mode, coalesce(v.type_key, '') AS type_key, sp.time_start, coalesce(pa.participants, '') AS participants, coalesce(ac.total, 0) AS total,
+       coalesce(ac.orphaned, 0) AS orphaned, coalesce(CAST(round_even(100.0 * orphaned / total, 0) AS BIGINT), 0) AS orphan_pct, coalesce(sp.summaries, '') AS summaries,
+       coalesce(decisions, '') AS decisions, coalesce(actions, '') AS actions, coalesce(n_topics, 0) AS n_topics
+FROM z LEFT JOIN li ON li.meeting_id = z.meeting_id AND li.mode = z.mode LEFT JOIN v ON v.meeting_id = z.meeting_id LEFT JOIN sp ON sp.meeting_id = z.meeting_id
+LEFT JOIN pa ON pa.meeting_id = z.meeting_id LEFT JOIN ac ON ac.meeting_id = z.meeting_id""")
+def final_payload(x):
+    """The three lengths of the report's input, read back from their JSON."""
+    decoded, rows, facts = payload_inputs(x)
+    made = [items.final_payload(decoded, rows, facts, mode).withColumn("mode", F.lit(mode)) for mode in items.MODES]
+    item = "array<map<string,string>>"
+    read = F.from_json("payload", "meta struct<meeting_type_key:string,time_start:string,participants:array<string>,action_items_total:bigint,"
+                       f"action_items_orphaned:bigint,orphan_pct:bigint>, chunk_summaries array<string>, decisions {item}, action_items {item}, mentioned_topics array<string>")
+    texts = lambda kind, key: F.array_join(F.transform(f"p.{kind}", lambda it: F.try_element_at(it, F.lit(key))), " | ")
+    whole = made[0].unionByName(made[1]).unionByName(made[2]).select("meeting_id", "mode", read.alias("p"))
+    return whole.select(
+        "meeting_id", "mode", F.coalesce("p.meta.meeting_type_key", F.lit("")).alias("type_key"), F.coalesce("p.meta.time_start", F.lit("")).alias("time_start"),
+        F.array_join("p.meta.participants", ";").alias("participants"), F.col("p.meta.action_items_total").alias("total"),
+        F.col("p.meta.action_items_orphaned").alias("orphaned"), F.col("p.meta.orphan_pct").alias("orphan_pct"), F.array_join("p.chunk_summaries", " / ").alias("summaries"),
+        texts("decisions", "decision").alias("decisions"), texts("action_items", "task").alias("actions"), F.size("p.mentioned_topics").cast("long").alias("n_topics"))
+
+
+@query("restored_payload", f"""{WITH_D}, {FACTS_SQL}
+SELECT z.meeting_id, z.mode, coalesce(decisions, '') AS decisions, coalesce(actions, '') AS actions
+FROM z LEFT JOIN li ON li.meeting_id = z.meeting_id AND li.mode = z.mode WHERE z.mode = 'full'""")
+def restored_payload(x):
+    """Tokens deep inside a JSON text are restored like any others."""
+    made = items.final_payload(*payload_inputs(x), "full").withColumn("part", F.lit(1).cast("long"))
+    words = made.select("meeting_id", F.explode(F.array_distinct(F.regexp_extract_all("payload", F.lit("[a-z]{5,}"), F.lit(0)))).alias("value"))
+    longest = words.groupBy("meeting_id").agg(F.max_by("value", F.struct(F.length("value"), "value")).alias("value"))
+    kept = longest.filter("value NOT IN ('chunk_summaries', 'decision', 'decisions', 'speakers', 'confidence', 'evidence', 'orphaned')").withColumn("token", F.lit("PERSON_001"))
+    hidden = made.join(kept, "meeting_id", "left").withColumn("text", F.coalesce(F.replace("payload", "value", "token"), "payload"))
+    back = pii.restore(hidden.select("meeting_id", "part", "text"), ["meeting_id", "part"], kept)
+    item = "array<map<string,string>>"
+    read = back.select("meeting_id", F.from_json("text", f"decisions {item}, action_items {item}").alias("p"))
+    texts = lambda kind, key: F.array_join(F.transform(f"p.{kind}", lambda it: F.try_element_at(it, F.lit(key))), " | ")
+    return read.select("meeting_id", F.lit("full").alias("mode"), texts("decisions", "decision").alias("decisions"), texts("action_items", "task").alias("actions"))
+
+
 @query("brief_extras", """
 WITH a AS (SELECT doc_id AS meeting_id, CASE WHEN n_chars % 3 = 0 THEN concat('---', chr(10), 'title: x', chr(10), '---', chr(10), chr(10), text) ELSE text END AS md,
                   regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]+', 'x', 'g') AS w1, regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]+', 'y', 'g') AS w2 FROM documents)

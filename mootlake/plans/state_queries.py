@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import times
 from ..functions.text import slugify, source_key
 from ..operators import archive, people, pii, state, transcript
-from ..session import stage_table
+from ..session import scratch_path, stage_table
+from ..streaming import dispatch
+from ..streaming.common import file_stream
 from .fixtures import EVENTS_AS_OF, VIEWS
 from .registry import query
 
@@ -183,19 +185,25 @@ def registry_additions(x):
 STEM = "coalesce(nullif(regexp_extract(replace(lower({0}), 'ё', 'е'), '^(.{{2}}.*?)[аеиоуыэюяйь]*$', 1), ''), replace(lower({0}), 'ё', 'е'))"
 
 
-@query("normalize_owner", f"""
-WITH c AS (SELECT DISTINCT raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS flat FROM {{fx_raw_owners}} WHERE raw IS NOT NULL),
+def owners_sql(raws: str, registry: str) -> str:
+    """raw, owner, matched of every distinct spelling."""
+    return f"""
+WITH c AS (SELECT DISTINCT raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS flat FROM {raws} WHERE raw IS NOT NULL),
 l AS (SELECT raw, CASE WHEN lower(flat) NOT IN ('', '-', '—', 'null', 'none', 'не назначен', 'не назначено', 'не указан', 'не указано', 'unknown', 'n/a', 'tbd') THEN flat END AS clean FROM c),
 b AS (SELECT raw, clean, coalesce(nullif(trim(string_split_regex(clean, '[(,/]| или | и ')[1]), ''), clean) AS base FROM l
       WHERE clean IS NOT NULL AND NOT regexp_matches(clean, '(?i)^(SPEAKER|PERSON|UNKNOWN)[_ ]?')),
 t AS (SELECT raw, 0 AS attempt, base AS word FROM b UNION ALL SELECT raw, 1, split_part(base, ' ', 1) FROM b WHERE contains(base, ' ')),
 s AS (SELECT raw, attempt, replace(lower(word), 'ё', 'е') AS f, {STEM.format('word')} AS st FROM t),
-p AS (SELECT name, ord, replace(lower(name), 'ё', 'е') AS f, {STEM.format('name')} AS st FROM {{fx_people}}),
+p AS (SELECT name, ord, replace(lower(name), 'ё', 'е') AS f, {STEM.format('name')} AS st FROM {registry}),
 m AS (SELECT raw, name, attempt, CASE WHEN p.f = s.f THEN 0 ELSE 1 END AS rule, ord FROM s JOIN p ON p.f = s.f OR p.st = s.st
         OR (least(length(p.st), length(s.st)) >= 3 AND abs(length(p.st) - length(s.st)) <= 3 AND (starts_with(p.st, s.st) OR starts_with(s.st, p.st)))),
 h AS (SELECT raw, arg_min(name, (attempt, rule, ord)) AS person FROM m GROUP BY raw)
-SELECT o.meeting_id, o.idx, o.part_no, o.supp_no, o.raw, coalesce(h.person, l.clean) AS owner, h.person IS NOT NULL AS matched
-FROM {{fx_raw_owners}} o LEFT JOIN l ON l.raw = o.raw LEFT JOIN h ON h.raw = o.raw""")
+SELECT l.raw, coalesce(h.person, l.clean) AS owner, h.person IS NOT NULL AS matched FROM l LEFT JOIN h ON h.raw = l.raw"""
+
+
+@query("normalize_owner", f"""
+SELECT o.meeting_id, o.idx, o.part_no, o.supp_no, o.raw, w.owner, coalesce(w.matched, false) AS matched
+FROM {{fx_raw_owners}} o LEFT JOIN ({owners_sql('{fx_raw_owners}', '{fx_people}')}) w ON w.raw = o.raw""")
 def normalize_owner(x):
     return people.normalize_owner(x["fx_raw_owners"], x["fx_people"])
 
@@ -262,7 +270,8 @@ FROM r WHERE outcome <> 'deleted'"""
 
 
 def review_fields(actions):
-    return state.keep_first(state.action_fields(actions.withColumn("tie", F.struct("part_no", "supp_no", "qty")))).drop("quote", "source_deadline")
+    fields = state.keep_first(state.action_fields(actions.withColumn("tie", F.struct("part_no", "supp_no", "qty"))))
+    return fields.select("meeting_id", "src_key", "idx", "text", "owner", "confidence", "kind", *[c for c in ("status",) if c in fields.columns])
 
 
 @query("sync_proposals", SYNC)
@@ -350,8 +359,15 @@ def dispatch_journal(x):
     cols = ["proposal_id", "meeting_id", "text", "owner", "due_v1"]
     ready = gated(x).filter("skip_reason IS NULL").select(
         F.col("id").alias("proposal_id"), "meeting_id", "text", F.coalesce("owner", F.lit("")).alias("owner"), F.col("due").alias("due_v1"))
-    journal = x["fx_journal"].select(*cols)
-    return journal.unionByName(state.journal_append(journal, ready).select(*cols))
+    spark, landing, checkpoint = x.spark, scratch_path(x.spark, "sent"), scratch_path(x.spark, "journal-checkpoint")
+    journal = dispatch.journal_sink(spark, scratch_path(spark, "journal"))
+    # the entries so far, then the ready ones twice over and messages about entries that are there
+    earlier = x["fx_journal"].select(*cols)
+    again = earlier.withColumn("text", F.lit("sent again"))
+    for wave in (earlier, ready.unionByName(ready).unionByName(again), ready):
+        wave.write.mode("append").parquet(landing)
+        dispatch.append_journal(file_stream(spark, landing, dispatch.JOURNAL, "parquet"), journal, checkpoint)
+    return journal.read()
 
 
 @query("due_v1_audit", """

@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
+from ..operators import transcript
 from ..sources import files
 from ..sources.snapshots import SnapshotTable
 from ..streaming import digest, ingest, review, rhythm, turns, updates
 from ..streaming.common import BatchSink, drain, file_stream
+from .fixtures import VIEWS
 from .registry import query
 from .state_queries import SYNC, review_fields
-from .transcript_queries import TURNS_SQL
+from .transcript_queries import CHUNKS_SQL, TURNS_SQL
 
 
-def sink(spark, label: str, schema: str) -> BatchSink:
-    return BatchSink(spark, scratch_path(spark, label), T.StructType.fromDDL(schema))
+def sink(spark, label: str, schema: str, key: list[str] | None = None) -> BatchSink:
+    return BatchSink(spark, scratch_path(spark, label), T.StructType.fromDDL(schema), key)
 
 
 # --- document sources --------------------------------------------------------
@@ -121,7 +123,24 @@ def stream_updates_dedup(x):
     sent.unionByName(again).repartition(8).write.json(landing)
     out = sink(spark, "admitted", "update_id bigint, reason string, label string, path string")
     stream = updates.first_seen(file_stream(spark, landing, updates.UPDATE, files_per_trigger=3), "40 days")
-    drain(updates.admit(stream, [7, 9]), lambda b, i: out.write(b, i), "updates")
+    drain(updates.admit(stream, [7, 9]), out.write, "updates")
+    return out.read()
+
+
+@query("stream_updates_late", """
+WITH u AS (SELECT event_id AS update_id, date_trunc('second', ts) AS sent FROM events)
+SELECT update_id, update_id % 10 >= 7 AND sent < (SELECT max(sent) FROM u WHERE update_id % 10 < 7) - INTERVAL 10 DAYS AS late FROM u""")
+def stream_updates_late(x):
+    """Two deliveries; the second holds new updates of all ages and repeats of the first."""
+    spark, landing, checkpoint = x.spark, scratch_path(x.spark, "deliveries"), scratch_path(x.spark, "late-checkpoint")
+    message = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("date"), F.col("event_type").alias("text"))
+    sent = x["events"].select(F.col("event_id").alias("update_id"), message.alias("message"))
+    out = sink(spark, "once", "update_id bigint, late boolean")
+    part = F.col("update_id") % 10
+    for wave in (sent.filter(part < 7), sent.filter((part >= 7) | (part == 0))):
+        wave.unionByName(wave.filter(part == 9)).write.mode("append").json(landing)
+        stream = file_stream(spark, landing, "update_id bigint, message struct<date:bigint,text:string>")
+        drain(updates.once_or_late(stream, "10 days"), out.write, "late", checkpoint)
     return out.read()
 
 
@@ -135,29 +154,14 @@ def stream_daily_digest(x):
     checks = x["events"].select(F.col("user_id").alias("board"), F.col("ts").alias("checked_at"), F.col("event_id").alias("check_no"), F.when(
         F.col("event_type") == "error", 0).otherwise(F.floor("value")).cast("long").alias("n_overdue"))
     third = F.ceil(F.dayofmonth("checked_at") / 11)
+    sent, checkpoint = sink(spark, "sent", digest.SENT), scratch_path(spark, "digest-checkpoint")
     for i in (1, 2, 3):
-        checks.filter(third == i).write.mode("append").parquet(f"{landing}/wave={i}")
-    sent = sink(spark, "sent", digest.SENT)
-    for i in (1, 2, 3):
-        # each wave is a run of the scheduled job over the same log
-        digest.send_daily(file_stream(spark, f"{landing}/wave={i}", checks.schema, "parquet"), _wave(sent, i))
+        # each wave is a run of the scheduled job, which goes on from its checkpoint
+        checks.filter(third == i).write.mode("append").parquet(landing)
+        digest.send_daily(file_stream(spark, landing, checks.schema, "parquet"), sent, checkpoint)
     return sent.read()
 
 
-class _wave(BatchSink):
-    """Batch numbers of one scheduled run, placed behind those of earlier runs."""
-
-    def __init__(self, base: BatchSink, run: int):
-        super().__init__(base.spark, base.path, base.schema)
-        self.offset = run * 1_000_000
-
-    def write(self, df, batch_id):
-        super().write(df, self.offset + batch_id)
-
-    def read(self, before=None):
-        return super().read(None if before is None else self.offset + before)
-
-
 @query("stream_rhythm", """
 SELECT CASE WHEN category = '' THEN 'Общее' ELSE category END AS series, CAST(time_bucket(INTERVAL 7 DAYS, date, DATE '1970-01-01') AS DATE) AS week_start, count(*) AS n_meetings
 FROM {fx_meetings} WHERE date IS NOT NULL GROUP BY 1, 2""")
@@ -171,19 +175,75 @@ def stream_rhythm(x):
 
 @query("stream_turns", TURNS_SQL)
 def stream_turns(x):
-    """Segments arrive in waves of growing position, each twice as long as before."""
+    """Segments arrive in waves of growing position, each four times as long as before; some come a wave early."""
     spark, landing = x.spark, scratch_path(x.spark, "live")
     seg = x["fx_segments"].select("meeting_id", "seg_no", "start_s", "end_s", "speaker", "text")
-    closed = sink(spark, "closed", turns.RUNS)
-    opened = SnapshotTable(spark, scratch_path(spark, "open"), T.StructType.fromDDL(turns.RUNS))
-    opened.write_version(spark.createDataFrame([], turns.RUNS), 0)
+    runs = sink(spark, "runs", turns.RUNS)
     longest = int(seg.agg(F.max("seg_no")).first()[0] or 0)
-    checkpoint, version, start = scratch_path(spark, "turns-checkpoint"), 0, 0
+    checkpoint, start, early = scratch_path(spark, "turns-checkpoint"), 0, F.lit(False)
     while start < longest:
-        end = max(16, 2 * start)
-        seg.filter((F.col("seg_no") > start) & (F.col("seg_no") <= end)).write.mode("append").parquet(landing)
+        end = max(16, 4 * start)
+        wave = (F.col("seg_no") > start) & (F.col("seg_no") <= end)
+        ahead = (F.col("seg_no") > end) & (F.col("seg_no") <= end + 8) & (F.col("seg_no") % 3 == 0)
+        seg.filter((wave & ~early) | ahead).write.mode("append").parquet(landing)
         # the same query goes on from its checkpoint when new files arrive
-        stream = file_stream(spark, landing, seg.schema, "parquet")
-        version = turns.run_turns(stream, closed, opened, checkpoint) or version
-        start = end
-    return turns.all_turns(closed, opened, version)
+        turns.run_turns(file_stream(spark, landing, seg.schema, "parquet"), runs, checkpoint)
+        start, early = end, ahead
+    return turns.all_turns(runs)
+
+
+# --- watched transcripts ---------------------------------------------------------
+
+VIEWS["fx_transcripts"] = """
+SELECT DISTINCT conv_id AS meeting_id, CASE conv_id % 3 WHEN 0 THEN 'Sales' WHEN 1 THEN 'Ops team' ELSE 'Ops' END AS category,
+       concat('room ', CAST(conv_id % 2 AS STRING)) AS subcategory, concat('talk ', CAST(conv_id AS STRING)) AS base,
+       CASE WHEN conv_id % 5 = 3 THEN '.docx' ELSE '.txt' END AS ending
+FROM {conversations}"""
+VIEWS["fx_deliveries"] = """
+SELECT *, CAST(1 AS BIGINT) AS wave FROM {fx_transcripts}
+UNION ALL SELECT *, CAST(2 AS BIGINT) AS wave FROM {fx_transcripts} WHERE meeting_id % 4 = 0"""
+TARGET = """concat(CASE WHEN ending = '.txt' THEN 'processed/' ELSE 'failed/' END, category, '/', subcategory, '/', base,
+  CASE WHEN wave = 2 THEN '_TIME' ELSE '' END, ending)"""
+
+
+def watched(x) -> ingest.Workplace:
+    """Every conversation arrives as a transcript file, one in four once more under the same name."""
+    spark, inbox, checkpoint = x.spark, scratch_path(x.spark, "transcripts-in"), scratch_path(x.spark, "transcripts-checkpoint")
+    work = ingest.Workplace(sink(spark, "filed", ingest.FILED, ["path", "modified"]), sink(spark, "turns", ingest.TURNS, ["meeting_id", "turn_no"]),
+                            sink(spark, "chunks", ingest.CHUNKS, ["meeting_id", "chunk_id"]), 800, 250)
+    texts = transcript.render_transcript(x["fx_turns"]).join(x["fx_transcripts"], "meeting_id")
+    files = texts.select("meeting_id", "category", "subcategory", F.concat("base", "ending").alias("name"), F.col("text").alias("value"))
+    for wave in (files, files.filter("meeting_id % 4 = 0")):
+        wave.drop("meeting_id").write.mode("append").partitionBy("category", "subcategory", "name").text(inbox)
+        ingest.ingest_transcripts(ingest.watch_transcripts(spark, inbox), work, checkpoint)
+    return work
+
+
+def untimed(c: str):
+    return F.regexp_replace(c, r"_\d{8}-\d{6}", "_TIME").alias(c)
+
+
+@query("stream_file_away", f"""
+SELECT concat(category, '/', subcategory, '/', base, ending) AS path, category, subcategory, {TARGET} AS target,
+       CASE WHEN ending <> '.txt' THEN 'unsupported kind' END AS reason FROM {{fx_deliveries}}""")
+def stream_file_away(x):
+    filed = watched(x).filed.read()
+    return filed.select("path", "category", "subcategory", untimed("target"), "reason")
+
+
+VIEWS["fx_told_turns"] = """
+SELECT meeting_id, turn_no, speaker, start_sec, end_sec, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS text FROM {fx_turns}"""
+
+
+@query("stream_ingest_turns", f"""
+SELECT {TARGET} AS meeting_id, row_number() OVER (PARTITION BY meeting_id, wave ORDER BY turn_no) - 1 AS turn_no, speaker, start_sec, end_sec, text
+FROM {{fx_deliveries}} JOIN {{fx_told_turns}} USING (meeting_id) WHERE ending = '.txt'""")
+def stream_ingest_turns(x):
+    return watched(x).turns.read().withColumn("meeting_id", untimed("meeting_id"))
+
+
+@query("stream_ingest_chunks", CHUNKS_SQL.replace("{fx_turns}", "{fx_told_turns}").replace("SELECT w.meeting_id, w.chunk_id, min", """,
+c AS (SELECT w.meeting_id, w.chunk_id, min""") + f""")
+SELECT {TARGET} AS meeting_id, chunk_id, n_turns, n_chars, start_time, end_time, text FROM c JOIN {{fx_deliveries}} USING (meeting_id) WHERE ending = '.txt'""", recursive=True)
+def stream_ingest_chunks(x):
+    return watched(x).chunks.read().select(untimed("meeting_id"), "chunk_id", "n_turns", "n_chars", "start_time", "end_time", "text")

@@ -72,7 +72,7 @@ def attendees(x):
 CHUNK_SIZE, CHUNK_OVERLAP = 800, 250
 
 
-@query("build_chunks", f"""
+CHUNKS_SQL = f"""
 WITH t AS (SELECT meeting_id, turn_no, start_sec, end_sec, {written('start_sec', 'end_sec')} AS line,
                   row_number() OVER (PARTITION BY meeting_id ORDER BY turn_no) - 1 AS pos FROM {{fx_turns}}),
 p AS (SELECT meeting_id, pos, CAST(coalesce(sum(length(line)) OVER (PARTITION BY meeting_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM t
@@ -93,7 +93,10 @@ w AS (SELECT f.meeting_id, CAST(1 AS BIGINT) AS chunk_id, f.s, CASE WHEN m.chars
 SELECT w.meeting_id, w.chunk_id, min(t.turn_no) AS turn_from, max(t.turn_no) AS turn_to, {hms('arg_min(t.start_sec, t.pos)')} AS start_time,
        {hms('arg_max(t.end_sec, t.pos)')} AS end_time, count(*) AS n_turns, CAST(sum(length(line)) AS BIGINT) AS n_chars,
        string_agg(line, chr(10) || chr(10) ORDER BY t.pos) AS text
-FROM w JOIN t ON t.meeting_id = w.meeting_id AND t.pos >= w.s AND t.pos < w.e GROUP BY w.meeting_id, w.chunk_id""", recursive=True)
+FROM w JOIN t ON t.meeting_id = w.meeting_id AND t.pos >= w.s AND t.pos < w.e GROUP BY w.meeting_id, w.chunk_id"""
+
+
+@query("build_chunks", CHUNKS_SQL, recursive=True)
 def build_chunks(x):
     return chunking.build_chunks(x["fx_turns"], CHUNK_SIZE, CHUNK_OVERLAP)
 

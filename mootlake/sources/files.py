@@ -47,6 +47,61 @@ def read_segment_documents(spark: SparkSession, root: str, whole_files: bool = T
         F.col("s.words").alias("words"))
 
 
+def named_path(root: str) -> Column:
+    """Path below ``root``; a folder ``name=...`` of a partitioned writer stands for the file in it, other keys are dropped."""
+    parts = F.split(relative_path(root), "/")
+    return F.array_join(F.transform(F.when(F.try_element_at(parts, F.lit(-2)).startswith("name="), F.slice(parts, 1, F.size(parts) - 1))
+                                    .otherwise(parts), plain_folder), "/")
+
+
+def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
+    """path, mtime, size of all files below ``root``; no content is read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(root).select(named_path(root).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def read_documents(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
+    """Segments of the chosen documents (meeting_id, path), one document per file: meeting_id, seg_no, start_s, end_s, ..."""
+    docs = (spark.read.schema(SEGMENT_DOC).option("recursiveFileLookup", True).json(root, multiLine=True)
+            .select(named_path(root).alias("path"), "segments"))
+    rows = docs.join(chosen.select("meeting_id", "path"), "path").select("meeting_id", F.posexplode("segments").alias("pos", "s"))
+    return rows.select("meeting_id", (F.col("pos") + 1).cast("long").alias("seg_no"), F.col("s.start").alias("start_s"),
+                       F.col("s.end").alias("end_s"), F.col("s.speaker").alias("speaker"), F.col("s.text").alias("text"), F.col("s.words").alias("words"))
+
+
+SIDECARS = {"actions": "_actions.json", "decisions": "_decisions.json"}
+
+
+def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """dir, stem, kind, body, broken of the side-car files of an archive; what is no JSON array stays as a broken row."""
+    path = F.col("path")
+    ending = F.lit(None).cast("string")
+    for kind, suffix in SIDECARS.items():
+        ending = F.when(path.endswith(suffix), kind).otherwise(ending)
+    files = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+             .select(named_path(root).alias("path"), F.col("value").alias("body")).withColumn("kind", ending).filter(F.col("kind").isNotNull()))
+    entries = F.from_json("body", "array<string>", {"mode": "PERMISSIVE"})
+    return files.select(F.regexp_extract(path, "^(.*)/", 1).alias("dir"), F.regexp_replace(file_name(path), r"_(actions|decisions)\.json$", "").alias("stem"),
+                        "kind", "body", (entries.isNull() | ~F.btrim("body", F.lit(" \n\r\t")).startswith("[")).alias("broken"))
+
+
+BOARD = {"cards": "id string, name string, due string, dueComplete boolean, closed boolean, idList string, shortUrl string",
+         "lists": "id string, name string, closed boolean"}
+
+
+def read_board(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A snapshot of a board's cards or lists: JSON documents that hold one array each."""
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    rows = text.select(F.explode(F.from_json("value", f"array<struct<{BOARD[kind].replace(' string', ':string').replace(' boolean', ':boolean')}>>")).alias("r"))
+    if kind == "lists":
+        return rows.select(F.col("r.id").alias("list_id"), F.col("r.name").alias("name"))
+    return rows.select(F.col("r.id").alias("card_id"), F.col("r.name").alias("name"), F.to_date(F.left(F.col("r.due"), F.lit(10))).alias("due"),
+                       F.coalesce("r.dueComplete", F.lit(False)).alias("due_complete"), F.coalesce("r.closed", F.lit(False)).alias("closed"),
+                       F.col("r.idList").alias("list_id"), F.col("r.shortUrl").alias("url"))
+
+
 def scan_archive(spark: SparkSession, root: str, pattern: str = "*_meta.json", whole_files: bool = True) -> DataFrame:
     """Meta documents of the archive; folders name category and subcategory.
 
@@ -82,6 +137,14 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
         "category", filled(F.trim("subcategory")).alias("subcategory")).filter("category <> ''")
 
 
+def read_speaker_map(spark: SparkSession, path: str) -> DataFrame:
+    """Assignments of voices to people, ``{label: person}`` per file ``{meeting_id}_speakers.json``: meeting_id, speaker_label, person."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(named_path(path).alias("path"), "value")
+    pairs = files.select(F.regexp_replace(file_name(F.col("path")), r"_speakers\.json$", "").alias("meeting_id"),
+                         F.explode(F.from_json("value", "map<string,string>")).alias("speaker_label", "person"))
+    return pairs.select("meeting_id", "speaker_label", F.trim("person").alias("person")).filter(filled(F.col("person")).isNotNull())
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", mode: str = "append") -> None:
     """Artefact sink; the folders carry category and subcategory."""
     df.write.mode(mode).partitionBy(*by).format(fmt).save(path)

@@ -2,23 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .common import BatchSink, drain
 
 SENT = "board bigint, day date, n_overdue bigint"
+_CHECK = "board bigint, day date, checked_at timestamp, check_no bigint, n_overdue bigint"
 
 
-def send_daily(checks: DataFrame, sent: BatchSink, checkpoint: str | None = None) -> None:
-    """Checks (board, checked_at, n_overdue): the first with overdue cards wins the day.
+def _earliest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of every batch of rows the first check per board and day, before anything is shuffled."""
+    for frame in frames:
+        yield frame.sort_values(["checked_at", "check_no"]).drop_duplicates(["board", "day"])
+
+
+def _once(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    best = None
+    for frame in frames:
+        first = frame.sort_values(["checked_at", "check_no"]).iloc[0]
+        if best is None or (first["checked_at"], first["check_no"]) < (best["checked_at"], best["check_no"]):
+            best = first
+    if not state.exists and best is not None:
+        yield pd.DataFrame({"board": [key[0]], "day": [key[1]], "n_overdue": [best["n_overdue"]]})
+        state.update((True,))
+
 
-    The log of sent digests is the state; checks of a batch are reduced per
-    board and day before the shuffle, so a busy board is no hot task.
+def daily(checks: DataFrame) -> DataFrame:
+    """Checks (board, checked_at, check_no, n_overdue): the first with overdue cards wins the day, and is sent at once.
+
+    That a day has its digest is kept as Spark's state, one flag per board and day.  A busy board is no hot task: every task
+    reduces its checks before the shuffle.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        due = (batch.filter("n_overdue > 0").groupBy("board", F.to_date("checked_at").alias("day"))
-               .agg(F.min_by("n_overdue", F.struct("checked_at", "check_no")).alias("n_overdue")))
-        already = sent.read(before=batch_id).select("board", "day")
-        sent.write(due.join(already, ["board", "day"], "left_anti"), batch_id)
-    drain(checks, each, "digest", checkpoint)
+    due = checks.filter("n_overdue > 0").select("board", F.to_date("checked_at").alias("day"), "checked_at", "check_no", "n_overdue")
+    return due.mapInPandas(_earliest, _CHECK).groupBy("board", "day").applyInPandasWithState(
+        _once, SENT, "sent boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def send_daily(checks: DataFrame, sent: BatchSink, checkpoint: str | None = None) -> None:
+    drain(daily(checks), sent.write, "digest", checkpoint)

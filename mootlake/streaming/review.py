@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators.state import sync_proposals
 from ..sources.snapshots import SnapshotTable
-from .common import drain
+from .common import Batch, drain
 
 
 def sync_stream(stream: DataFrame, queue: SnapshotTable, fields: Callable[[DataFrame], DataFrame],
@@ -16,7 +16,7 @@ def sync_stream(stream: DataFrame, queue: SnapshotTable, fields: Callable[[DataF
     """Batch n reads version n and writes version n + 1, so a repeated batch
     gives the same version again.  All items of a meeting come in one batch; a run
     without any action sends one row without a task, which clears its open proposals."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        merged = sync_proposals(queue.version(batch_id), fields(batch), batch.select("meeting_id"))
-        queue.write_version(merged, batch_id + 1)
+    def each(rows: DataFrame, batch: Batch) -> None:
+        merged = sync_proposals(queue.version(batch.number), fields(rows), rows.select("meeting_id"))
+        queue.write_version(merged, batch.number + 1)
     drain(stream, each, "review", checkpoint)
