@@ -17,7 +17,7 @@ wrapper.
 
 Defined results: null and empty html give an empty text; null urls and urls without host share one wrapper; comments,
 scripts and tags that never end reach to the end of the page; repeated pages count as one for template texts; plain text
-without markup is one block; an empty table gives an empty result.
+without markup is one block; pages of any length and depth are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SALTS = 64
 WIDER = 1.5  # an outer element with so many times the text takes the place of the best holder
 HOSTS_IN_MEMORY = 2000
 SMALL_HOSTS = 5000
+DEEPEST = 150  # elements below stand beside each other there, in order and with what encloses them
+ALIGN_CELLS = 1 << 18
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -82,13 +84,14 @@ class Element:
         named = {}
         if attributes and ("=" in attributes or "hidden" in attributes):
             named = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes) if k.lower() in _NAMING}
-        words = [w for w in f"{named.get('class', '')} {named.get('id', '')}".lower().split() if not re.search(r"\d", w)]
+        every = f"{named.get('class', '')} {named.get('id', '')}".lower().split()
+        words = [w for w in every if not re.search(r"\d", w)]
         self.label = ".".join([tag, *sorted(set(words))])
         if "itemprop" in named:
             self.label += "." + named["itemprop"].lower()
         if named.get("role", "").lower() == "main":
             self.label += ".role-main"
-        parts = {p for w in words for p in re.split(r"[-_:]+", w)}
+        parts = {p for w in every for p in re.split(r"[-_:\d]+", w)}
         whole = tag in ("html", "body", "main", "article") and not parts & {"comment", "comments", "reply"}
         self.bad = (tag in NOT_ARTICLE or named.get("role", "").lower() in ROLES or "hidden" in named
                     or named.get("aria-hidden", "").lower() == "true"
@@ -103,11 +106,29 @@ def parse(html: str) -> Element:
     root = Element("#page", "")
     root.mark = xxhash.xxh64_intdigest(html)
     stack, at = [root], 0
+
+    def hang(node) -> None:
+        """Add a child to the innermost open element; from a depth on elements are siblings and go on behind each other."""
+        if len(stack) <= DEEPEST:
+            stack[-1].children.append(node)
+            return
+        beside = stack[DEEPEST - 1].children
+        if isinstance(node, Element):
+            node.bad |= stack[-1].bad
+            beside.append(node)
+            return
+        if beside[-1] is not stack[-1]:  # an inner element stands between: the text goes on in a copy
+            again = Element(stack[-1].tag, "")
+            again.label, again.bad = stack[-1].label, stack[-1].bad
+            beside.append(again)
+            stack[-1] = again
+        stack[-1].children.append(node)
+
     while at < len(html):
         found = _TOKEN.search(html, at)
         text = html[at:found.start()] if found else html[at:]
         if text:
-            stack[-1].children.append(text)
+            hang(text)
         if not found:
             break
         at = found.end()
@@ -125,7 +146,7 @@ def parse(html: str) -> Element:
             if name in CLOSES:
                 _close(stack, CLOSES[name], SCOPES.get(name, set()))
             element = Element(name, attributes or "")
-            stack[-1].children.append(element)
+            hang(element)
             if name in RAW:
                 close = re.compile(rf"</{name}[^>]*(?:>|\Z)", re.I).search(html, at)
                 element.children.append(html[at:close.start() if close else len(html)])
@@ -185,6 +206,8 @@ def align(left: list[list], right: list[list]) -> list[list]:
     if [x[0] for x in left] == [x[0] for x in right]:
         return [merge(a, b) for a, b in zip(left, right, strict=True)]
     n, m = len(left), len(right)
+    if n * m > ALIGN_CELLS:
+        return fold(_nearest(left, right))
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -203,6 +226,33 @@ def align(left: list[list], right: list[list]) -> list[list]:
     return fold(out)
 
 
+def _nearest(left: list[list], right: list[list]) -> list[list]:
+    """Long lists are aligned in one pass: where kinds differ, the side whose next partner is farther waits."""
+    ahead: list[dict[str, list[int]]] = [{}, {}]
+    for places, items in zip(ahead, (left, right), strict=True):
+        for k in range(len(items) - 1, -1, -1):
+            places.setdefault(items[k][0], []).append(k)
+    out, i, j = [], 0, 0
+    while i < len(left) and j < len(right):
+        a, b = left[i][0], right[j][0]
+        if a == b:
+            out.append(merge(left[i], right[j]))
+            i, j = i + 1, j + 1
+            continue
+        for places, kind, here in ((ahead[1], a, j), (ahead[0], b, i)):
+            while places.get(kind) and places[kind][-1] < here:
+                places[kind].pop()
+        to_right = ahead[1][a][-1] - j if ahead[1].get(a) else len(right)
+        to_left = ahead[0][b][-1] - i if ahead[0].get(b) else len(left)
+        if to_left <= to_right:
+            out.append([a, 1, *left[i][2:]])
+            i += 1
+        else:
+            out.append([b, 1, *right[j][2:]])
+            j += 1
+    return out + [[x[0], 1, *x[2:]] for x in left[i:]] + [[x[0], 1, *x[2:]] for x in right[j:]]
+
+
 def _walk(items: list[list], path: str) -> Iterator[tuple[str, list]]:
     """All items with their paths; a part that is no article has a mark in its path."""
     for x in items:

@@ -519,3 +519,47 @@ def test_counterfactual_penalty_shrinks_the_gap():
         a, b = model.word_scores(["muslim", "christian"])
         gaps.append(abs(a - b))
     assert gaps[1] < 0.7 * gaps[0]
+
+
+# ------------------------------------------------------------ pages and entities of any size
+
+@pytest.mark.parametrize("depth", [100, 1_500, 10_000])
+def test_deep_pages_are_read_in_order(spark, depth):
+    down = "".join(f"<div>a{i} " for i in range(depth))
+    up = "".join(f"z{i} </div>" for i in range(depth))
+    rows = [(0, "https://h.example/0", f"<body><article>{down}<p>core</p>{up}</article>tail"),
+            (1, "https://h.example/1", "<article>" + "<b>x " * depth + "</article>"),
+            (2, "https://h.example/2", "<article><p>keep</p>" + "<div>" * depth + "<nav><ul><li>menu</ul></nav><p>deep</p>" + "</div>" * depth + "<p>end</p></article>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0].split() == [f"a{i}" for i in range(depth)] + ["core"] + [f"z{i}" for i in range(depth)]
+    assert got[1] == " ".join(["x"] * depth)
+    assert got[2].split("\n") == ["keep", "deep", "end"]
+
+
+def test_long_lists_align_in_one_pass():
+    line = lambda n, extra: "".join(f"line {i} {n}<br>" + (extra if i % 7 == 3 else "") for i in range(5_000))
+    pages = [f"<body><div id=top>Menu of us</div><div id=mid><p>Long story {n} told here</p>{line(n, extra)}</div></body>"
+             for n, extra in enumerate(["", "<i>x</i>", "<img>", "", "<i>y</i>", "<u>z</u>"])]
+    whole = html._item(html.parse(pages[0]))
+    for page in pages[1:]:
+        whole = html.merge(whole, html._item(html.parse(page)))
+    got = html.main_text(pages[3], html.compile_wrapper(whole, len(pages)))
+    assert got.startswith("Long story 3 told here\nline 0 3 line 1 3") and "Menu" not in got and got.endswith("line 4999 3")
+
+
+def test_numbered_class_words_count():
+    page = '<article><p class="p2">text</p><div class="ad-300x250">buy</div><div id="sidebar-2">more</div><p class="h1">end</p></article>'
+    assert html.main_text(page) == "text\nend"
+
+
+def test_entities_of_any_length(spark):
+    letters, digits = "abcdefghij" * 10_000, "1234567890" * 1_000
+    texts = [f"write to {letters}@example.com now", f"write to a{digits}@example.com now", "Mr. " + "B" + "o" * 4_000 + " came", "a%" * 300_000, "a@" * 200_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.asDict() for r in surrogates.surrogates(docs).collect()}
+    assert len(got) == len(texts)
+    changed = {i: r["text"] for i, r in got.items()}
+    for i in (0, 1, 2):
+        assert len(changed[i]) == len(texts[i]) and changed[i] != texts[i]
+    assert changed[0].endswith(" now") and letters[:50] not in changed[0] and digits[:50] not in changed[1]
+    assert changed[3] == texts[3] and changed[4] == texts[4]
