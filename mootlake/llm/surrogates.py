@@ -12,7 +12,7 @@ Permutations have no fixed points, so no original is its own surrogate.  The col
 surrogate; if two originals met in one, or an original stayed as it is, the run would be repeated with the next key.
 
 Defined results: null texts stay null, empty texts stay empty, both without entities; overlapping findings go to the one
-that begins first, then the longer; repeated rows get equal results; an empty table gives an empty result; other columns
+that begins first, then the longer; texts and entities of any length are read whole, in linear time; repeated rows get equal results; an empty table gives an empty result; other columns
 are not returned.
 """
 
@@ -30,6 +30,7 @@ from .common import stage_table
 
 DEFAULT_KEY = b"mootlake surrogate key, replace per corpus"
 MAX_REKEYS = 8
+PIECE = 256  # digits or letters that are permuted as one number
 
 # First names by gender and script, and titles by gender.
 FIRST_NAMES = {
@@ -53,7 +54,7 @@ STOPS = frozenset("i a an and or but of the in on at for to is was are were has
 GENDER_OF_TITLE = {t: g for g, line in TITLES.items() for t in line.split()}
 CLASS_OF_NAME = {n: c for c, line in FIRST_NAMES.items() for n in line.split()}
 
-_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[\w-]*\.)+[A-Za-z]{2,24}(?![\w-])")
+_EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[\w-]*\.)+[A-Za-z]{2,24}(?![\w-])")
 _NUMBERS = re.compile(r"""
  (?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,4})?(?!\w))
 |(?P<ip>(?<![\w.])(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}(?![\w]|\.\d))
@@ -108,10 +109,15 @@ class Permuter:
                 return value
 
     def digits(self, text: str, tweak: str) -> str:
+        """Another string of as many digits; long ones piece by piece, which is a permutation of the whole as well."""
+        if len(text) > PIECE:
+            return "".join(self.digits(text[i:i + PIECE], f"{tweak}@{i}") for i in range(0, len(text), PIECE))
         return str(self.number(int(text), 10 ** len(text), tweak)).zfill(len(text)) if text else ""
 
     def letters(self, text: str, tweak: str) -> str:
         """Another string of as many letters a-z."""
+        if len(text) > PIECE:
+            return "".join(self.letters(text[i:i + PIECE], f"{tweak}@{i}") for i in range(0, len(text), PIECE))
         value = 0
         for c in text:
             value = value * 26 + ord(c) - 97
