@@ -18,7 +18,7 @@ hold; the filter is filled from the shingle counts of one distinct text in ``SAM
 
 Candidates are stars: in each batch, then in each bucket of signatures, every set is paired with the least set of its
 signature.  Stars are verified exactly, components are merged, and at the end sets that still share a signature across
-components are paired and verified too.  Equal sets are one node from the start.
+components are paired once and verified too.  Equal sets are one node from the start.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; equal sets are linked;
 repeated rows keep their rows; null ids take part, but no component is named by one unless it has no other id; an empty
@@ -48,6 +48,10 @@ ENTRIES_PER_BUCKET = 1 << 17
 BATCH_BYTES = 2 << 20
 PARITIES = 1024
 FOLDED = ("odd0", "odd1", "odd2", "odd3")
+TILE = 8192  # members of a signature that are compared in one task
+COMPARED = 1024
+ROWS_PER_CELL = 1 << 16
+SEEN = 1 << 19
 NODE_MASK = (1 << 48) - 1
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -461,6 +465,82 @@ def _alike(left: DataFrame, right: DataFrame) -> DataFrame:
             .select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct())
 
 
+def _apart(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) as in ``_alike``, of members with themselves.
+
+    Two sets that are nearly alike share most of their signatures, so a join on signatures gives every pair a hundred times.
+    Here signatures with the same least root are dealt to the same task, as far as they fit, and a task tells each pair once.  A signature
+    of more than ``TILE`` members is cut into tiles, pairs of blocks of its members, that go to tasks of their own.
+    """
+    p, q = THRESHOLD
+    blocks = F.ceil(F.col("size") / TILE).cast("int")
+    rows = members.withColumn("own", F.when(F.col("size") > TILE, F.pmod(F.xxhash64("node"), blocks)).otherwise(0).cast("int"))
+    other = F.explode(F.when(F.col("size") > TILE, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0))))
+    rows = rows.withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    cells = F.ceil(F.col("low_rows") / ROWS_PER_CELL)
+    rows = rows.withColumn("cell", F.when(F.col("size") > TILE, F.xxhash64("x", "i", "j")).otherwise(F.pmod(F.xxhash64("x"), cells)))
+    key, form = ["low", "cell", "x", "i", "j"], ["own", "node", "n", "rares", "root", *FOLDED]
+
+    def compare(group: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """Pairs of one signature or tile, block by block."""
+        crossing = group["i"][0] != group["j"][0]
+        left = np.flatnonzero(group["own"] == group["i"])
+        right = np.flatnonzero(group["own"] == group["j"]) if crossing else left
+        for a in range(0, len(left), COMPARED):
+            one = left[a:a + COMPARED]
+            for b in range(0 if crossing else a, len(right), COMPARED):
+                two = right[b:b + COMPARED]
+                value = lambda c: (group[c][one][:, None], group[c][two][None, :])
+                sizes, apart, rares = value("n"), np.not_equal(*value("root")), np.add(*value("rares"))
+                differ = np.zeros((len(one), len(two)), np.int64)
+                for c in FOLDED:
+                    differ += np.bitwise_count(np.bitwise_xor(*value(c)))
+                fits = (apart & (np.minimum(*sizes) * q >= np.maximum(*sizes) * p)
+                        & (np.maximum(rares, differ) * (q + p) <= np.add(*sizes) * (q - p)))
+                x, y = np.nonzero(fits)
+                yield np.stack([group["node"][one[x]], group["node"][two[y]]], axis=1)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        seen: set[tuple[int, int]] = set()
+        held: list[dict[str, np.ndarray]] = []
+        at = None
+
+        def told() -> Iterator:
+            group = {c: np.concatenate([h[c] for h in held]) for c in (*key, *form)}
+            for pairs in compare(group):
+                pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+                fresh = [t for t in map(tuple, pairs.tolist()) if t not in seen]
+                seen.update(fresh)
+                if fresh:
+                    yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in fresh], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                if len(seen) > SEEN:
+                    seen.clear()
+
+        for batch in batches:
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*key, *form)}
+            new = np.zeros(batch.num_rows, bool)
+            new[:1] = True
+            for c in key:
+                new[1:] |= columns[c][1:] != columns[c][:-1]
+            starts = np.flatnonzero(new)
+            for start, stop in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
+                now = tuple(columns[c][start] for c in key)
+                if held and now != at:
+                    yield from told()
+                    held.clear()
+                    if now[0] != at[0]:
+                        seen.clear()
+                at = now
+                held.append({c: v[start:stop] for c, v in columns.items()})
+        if held:
+            yield from told()
+
+    dealt = rows.select(*key, *form).repartition("low", "cell").sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -494,8 +574,10 @@ def joined(docs: DataFrame) -> DataFrame:
     root = F.coalesce("root", "short")
     lists = lean.join(rooted_short, "short", "left").groupBy("x").agg(
         *marks, F.count(F.lit(1)).alias("size"), F.max("rares").alias("rares"), F.min(root).alias("low"), F.max(root).alias("high"))
-    one = lists.where("low <> high").groupBy("mark1", "mark2", "size", "rares").agg(F.min("x").alias("x")).select("x")
-    opened = stage_table(lean.join(one, "x", "left_semi"), "join-open")
+    one = lists.where("low <> high").groupBy("mark1", "mark2", "size", "rares").agg(F.min("x").alias("x"), F.first("low").alias("low"))
+    one = stage_table(one.select("x", "size", "low"), "join-lists")
+    by_low = stage_table(one.groupBy("low").agg(F.sum("size").alias("low_rows")), "join-lows")
+    opened = stage_table(lean.join(attach(one, by_low, "low", F.col("x")), "x"), "join-open")
 
     # Parities of a coarser partition, four words of bits, travel with the members.
     folded = []
@@ -505,8 +587,9 @@ def joined(docs: DataFrame) -> DataFrame:
             word = word.bitwiseXOR(F.get("odd", F.lit(j)))
         folded.append(word.alias(FOLDED[i]))
     form = nodes.select(F.col("node").bitwiseAND(NODE_MASK).alias("short"), "node", "n", *folded)
+    dealing = ["size", "low", "low_rows"]
     members = stage_table(opened.join(form, "short").join(labels, "node", "left").select(
-        "x", "node", "n", "rares", F.coalesce("root", "node").alias("root"), *FOLDED), "join-members")
+        "x", "node", "n", "rares", F.coalesce("root", "node").alias("root"), *FOLDED, *dealing), "join-members")
 
     # Stars once more, around a centre drawn anew for each signature; then every pair that is still apart.
     form = F.struct("node", "n", "rares", "root", *FOLDED)
@@ -517,9 +600,9 @@ def joined(docs: DataFrame) -> DataFrame:
     if anew.take(1):
         labels = components(links)
         members = members.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).select(
-            "x", "node", "n", "rares", "root", *FOLDED)
+            "x", "node", "n", "rares", "root", *FOLDED, *dealing)
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(drawn)
-    across = _alike(members, members).join(tested, ["a", "b"], "left_anti")
+    across = _apart(members).join(tested, ["a", "b"], "left_anti")
     late = verified(across, docs, nodes)
     if late.take(1):
         labels = components(links.unionByName(late))

@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from mootlake.llm import repair, resample, tokenfiles
+from mootlake.llm import ngram_join, repair, resample, tokenfiles
 
 SF = "/root/testdata/sf0.001"
 CLASHING = ("key", "size", "part", "place", "ident", "rank", "n", "start", "tokens", "said", "first", "times", "blank", "before", "bucket")
@@ -360,3 +360,23 @@ def test_no_conversations(spark):
     gone = next(i for i in range(1000) if zlib.crc32(f"{i}:1".encode()) % 20 == 0)
     empty = hashlib.sha256(b"").hexdigest()
     assert found(repair.repaired(talk(spark, [(gone, 1, "user", "a")]))) == {gone: (0, 0, 0, 0, 0, 0, "", empty)}
+
+
+# ------------------------------------------------------------ 7, the pairs still apart
+
+@pytest.mark.parametrize("tile", [8, 10_000])
+def test_open_pairs_are_told_once_and_all(spark, tile, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "ROWS_PER_CELL", 50)
+    rng = random.Random(tile)
+    words = [[rng.getrandbits(63) & rng.getrandbits(63) & rng.getrandbits(63) for _ in range(4)] for _ in range(9)]
+    nodes = [(i + 1, rng.choice([40, 44, 60, 400]), rng.choice([0, 1, 3]), rng.choice([1, 2, 3, i + 1]),
+              *[w ^ (1 << rng.randrange(60)) for w in rng.choice(words)]) for i in range(90)]
+    rows = [(x, *node) for x in range(30) for node in rng.sample(nodes, rng.randint(2, 60))]
+    df = spark.createDataFrame(rows, "x bigint, node bigint, n bigint, rares bigint, root bigint, " + ", ".join(f"{c} bigint" for c in ngram_join.FOLDED))
+    sizes = df.groupBy("x").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"))
+    lows = sizes.groupBy("low").agg(F.sum("size").alias("low_rows"))
+    members = df.join(sizes.join(lows, "low"), "x").repartition(5)
+    want = {(r.a, r.b) for r in ngram_join._alike(members, members).collect()}
+    got = [(r.a, r.b) for r in ngram_join._apart(members).collect()]
+    assert len(want) > 50 and set(got) == want and len(got) == len(want)
