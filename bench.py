@@ -23,7 +23,8 @@ HEADLINE = [
     "trim_compact", "summary_payload", "pii_spans", "pii_tokens", "pii_masked", "deanonymize", "pii_dictionary",
     "normalize_owner", "sync_proposals", "upsert_meetings", "assign_speakers", "apply_patches", "dispatch_gate",
     "card_text", "dates_from_names", "next_occurrence", "archive_list", "meeting_files", "stream_upsert_proposals",
-    "stream_updates_dedup", "stream_rhythm",
+    "stream_updates_dedup", "stream_rhythm", "stream_turns", "stream_updates_late", "render_transcript", "enrich_actions",
+    "sync_whole_proposals", "merged_fields",
 ]
 
 
