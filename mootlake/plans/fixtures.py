@@ -216,25 +216,28 @@ SELECT DISTINCT conv_id AS meeting_id, concat('SPEAKER_', role) AS speaker_label
        concat(CASE role WHEN 'user' THEN 'Anna ' ELSE 'Boris ' END, CAST(conv_id % 50 AS STRING)) AS person
 FROM {conversations} WHERE NOT (role = 'assistant' AND conv_id % 3 = 0)"""
 
-# Raw extractor answers, one per document: plain, fenced, after thinking, broken.
+# Raw extractor answers, one per document, made of its whole text: plain, fenced, after thinking, broken.  Only the background
+# remark is two words: near duplicates of whole texts take minutes already at a thousand documents.
 VIEWS["fx_responses"] = """
 SELECT meeting_id, chunk_id,
        CASE chunk_id % 5 WHEN 0 THEN body WHEN 1 THEN concat('```json\n', body, '\n```')
-            WHEN 2 THEN concat('<think>let me see {</think>\n', body) WHEN 3 THEN concat('Sorry, no JSON: ', substring(body, 2, 40))
+            WHEN 2 THEN concat('<think>let me see {</think>\n', body) WHEN 3 THEN concat('Sorry, no JSON: ', substring(body, 2))
             ELSE concat('<think>a</think>Here:\n```\n', body, '\n```\nbye') END AS raw
 FROM (
   SELECT source AS meeting_id, doc_id AS chunk_id,
          concat('{"chunk_id": ', CAST(doc_id AS STRING), ', "time_range": {"start": "00:0', CAST(doc_id % 10 AS STRING),
            ':00", "end": "00:1', CAST(doc_id % 10 AS STRING), ':00"}, "summary": "', w1, ' and ', w2, '", "meeting_type": ',
            CASE n_chars % 5 WHEN 0 THEN 'null' WHEN 1 THEN '" Audit "' WHEN 2 THEN '"retro"' WHEN 3 THEN '"AUDIT"' ELSE '"planning"' END,
-           ', "meeting_context": ', CASE WHEN n_chars % 4 = 0 THEN 'null' ELSE concat('" ', w1, ' ', w2, ' ', lang, ' "') END,
-           ', "decisions": [{"decision": "', w1, ' ', lang, '", "speakers": ["', lang, '", " ', w2, ' ", null], "confidence": "high", "quote": null, "evidence": "', w2,
+           ', "meeting_context": ', CASE WHEN n_chars % 4 = 0 THEN 'null' ELSE concat('" ', f1, ' ', f2, ' ', lang, ' "') END,
+           ', "decisions": [{"decision": "', w1, ' ', lang, '", "speakers": ["', lang, '", " ', source, ' ", null], "confidence": "high", "quote": null, "evidence": "', w2,
            '"}], "action_items": [{"task": "', w2, ' now", "owner": ', CASE n_chars % 3 WHEN 0 THEN 'null' WHEN 1 THEN '"None"' ELSE concat('"', lang, '"') END,
            ', "deadline": "', CASE WHEN n_chars % 2 = 0 THEN 'null' ELSE 'tomorrow' END, '", "confidence": "',
-           CASE WHEN n_chars % 2 = 0 THEN 'high' ELSE 'low' END, '", "evidence": "', w1, '"}, {"task": "', w1, ' later", "owner": "', w2,
-           '", "confidence": "medium"}], "mentioned_topics": ["', w1, '", "', upper(w1), '!", "', w2, '"]}') AS body
-  FROM (SELECT doc_id, source, lang, n_chars, regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]+', 'x') AS w1,
-               regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]+', 'y') AS w2 FROM {documents}) t
+           CASE WHEN n_chars % 2 = 0 THEN 'high' ELSE 'low' END, '", "evidence": "', w1, '"}, {"task": "', w1, ' later", "owner": "', source,
+           '", "confidence": "medium"}], "mentioned_topics": ["', w1, '", "', w1, '!", "', w2, '"]}') AS body
+  FROM (SELECT doc_id, source, lang, n_chars, substring(clean, 1, CAST(floor(n_chars / 2) AS INT)) AS w1,
+               substring(clean, CAST(floor(n_chars / 2) AS INT) + 1) AS w2, f1, f2
+        FROM (SELECT doc_id, source, lang, n_chars, regexp_replace(split_part(text, ' ', 1), '[^A-Za-z]+', 'x') AS f1,
+                     regexp_replace(split_part(text, ' ', 2), '[^A-Za-z]+', 'y') AS f2, translate(text, concat(chr(34), chr(92), chr(9), chr(10), chr(13)), '     ') AS clean FROM {documents}) c) t
 ) u"""
 
 _NAME = re.compile(r"\{(\w+)\}")
