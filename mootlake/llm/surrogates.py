@@ -30,7 +30,7 @@ from .common import stage_table
 
 DEFAULT_KEY = b"mootlake surrogate key, replace per corpus"
 MAX_REKEYS = 8
-PIECE = 256  # digits or letters that are permuted as one number
+PIECE = 48  # digits or letters that are permuted as one number; its halves fit the 128 bits of a digest
 
 # First names by gender and script, and titles by gender.
 FIRST_NAMES = {
@@ -227,6 +227,9 @@ def _family(p: Permuter, part: str) -> str:
     """A pronounceable name for a part of a family name; different for different parts."""
     lower = part.lower()
     cyrillic = "а" <= lower[0] <= "я"
+    if len(lower) > PIECE:  # a keyed digest stands for a run of letters that no family has; the check sees collisions
+        digest = p._digest("family", lower)
+        lower = "".join(chr(97 + digest // 26 ** i % 26) for i in range(27))
     if all("a" <= c <= "z" for c in lower):
         base, first, ending = 26, 97, ""
     elif all("а" <= c <= "я" for c in lower):

@@ -559,7 +559,8 @@ def test_entities_of_any_length(spark):
     got = {r.doc_id: r.asDict() for r in surrogates.surrogates(docs).collect()}
     assert len(got) == len(texts)
     changed = {i: r["text"] for i, r in got.items()}
-    for i in (0, 1, 2):
+    for i in (0, 1):
         assert len(changed[i]) == len(texts[i]) and changed[i] != texts[i]
+    assert changed[2].startswith("Mr. ") and changed[2].endswith(" came") and "ooo" not in changed[2]
     assert changed[0].endswith(" now") and letters[:50] not in changed[0] and digits[:50] not in changed[1]
     assert changed[3] == texts[3] and changed[4] == texts[4]
