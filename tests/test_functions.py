@@ -1,6 +1,7 @@
 """Scalar rules on small tables of input and expectation."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -138,3 +139,12 @@ def test_hooks(spark):
     texts = spark.createDataFrame([(1, 1, "Anna met Boris")], "meeting_id long, part long, text string")
     found = hooks.recognize_entities(texts, lambda s: pd.Series([[("PER", 0, 4), ("MISC", 9, 14)]] * len(s)), {"PER": "PERSON"})
     assert [(r.type, r.value) for r in found.collect()] == [("PERSON", "Anna")]
+
+
+def test_answers_full_of_blanks_take_linear_time(spark):
+    gap = " " * 300_000
+    cases = {"```json\n{\"a\":" + gap + "1}\n``` bye": "{\"a\":" + gap + "1}", "Sorry ``` {" + gap + "}": "Sorry ``` {" + gap + "}",
+             "a" + gap + "b\n": "a" + gap + "b", "x ```json``` y": "json", "``` ``` ": "", "```\n z \n\n```": "z", None: None}
+    began = time.monotonic()
+    assert column(spark, list(cases), text.clean_response) == list(cases.values())
+    assert time.monotonic() - began < 30
