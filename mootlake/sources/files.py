@@ -11,6 +11,7 @@ from ..operators.archive import SKIPPED_ROOTS
 
 SEGMENT_DOC = ("segments array<struct<start:double,end:double,speaker:string,text:string,"
                "words:array<struct<word:string,start:double>>>>")
+SEGMENT_STRUCT = "struct<" + SEGMENT_DOC.replace("segments ", "segments:", 1) + ">"
 META = ("stem string, title string, date date, date_source string, category string, subcategory string, "
         "audio string, attendees array<string>, _broken string")
 ACTION = ("task string, text string, owner string, deadline string, context string, section string, "
@@ -33,14 +34,33 @@ def plain_folder(part: Column) -> Column:
     return F.regexp_replace(part, r"^\w+=", "")
 
 
-def read_segment_documents(spark: SparkSession, root: str, whole_files: bool = True) -> DataFrame:
+PACKED = "path string, body string"
+
+
+def write_packed(documents: DataFrame, root: str) -> None:
+    """Many small documents (path, body) as lines of few files.
+
+    One file per document costs a folder, an open and a rename each, which is far more than the content; the readers below take
+    such packs with ``packed``.  More documents may be added to the same folder, also under a path that is there.
+    """
+    documents.select("path", "body").write.mode("append").json(root)
+
+
+def _packed(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(PACKED).option("recursiveFileLookup", True).json(root)
+
+
+def read_segment_documents(spark: SparkSession, root: str, whole_files: bool = True, packed: bool = False) -> DataFrame:
     """One row per segment of every document below ``root``, one document per file
-    (or per line).
+    (or per line, or per line of a pack).
 
     ``doc`` is the path of the document, ``seg_no`` counts from 1 inside it.
     """
-    docs = (spark.read.schema(SEGMENT_DOC).option("recursiveFileLookup", True).json(root, multiLine=whole_files)
-            .select(relative_path(root).alias("doc"), "segments"))
+    if packed:
+        docs = _packed(spark, root).select(F.col("path").alias("doc"), F.from_json("body", SEGMENT_STRUCT)["segments"].alias("segments"))
+    else:
+        docs = (spark.read.schema(SEGMENT_DOC).option("recursiveFileLookup", True).json(root, multiLine=whole_files)
+                .select(relative_path(root).alias("doc"), "segments"))
     return docs.select("doc", F.posexplode("segments").alias("pos", "s")).select(
         "doc", (F.col("pos") + 1).cast("long").alias("seg_no"), F.col("s.start").alias("start_s"),
         F.col("s.end").alias("end_s"), F.col("s.speaker").alias("speaker"), F.col("s.text").alias("text"),
@@ -54,19 +74,27 @@ def named_path(root: str) -> Column:
                                     .otherwise(parts), plain_folder), "/")
 
 
-def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
-    """path, mtime, size of all files below ``root``; no content is read."""
+def list_files(spark: SparkSession, root: str, pattern: str | None = None, packed: bool = False) -> DataFrame:
+    """path, mtime, size of all files below ``root``; no content is read, but for the documents of packs."""
+    if packed:
+        names = F.lit(True) if pattern is None else file_name(F.col("path")).rlike("^" + ".*".join(map(_literal, pattern.split("*"))) + r"\z")
+        return _packed(spark, root).select("path", F.col("_metadata.file_modification_time").alias("mtime"),
+                                           F.octet_length("body").cast("long").alias("size")).filter(names)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(root).select(named_path(root).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
-def read_documents(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
+def read_documents(spark: SparkSession, root: str, chosen: DataFrame, packed: bool = False) -> DataFrame:
     """Segments of the chosen documents (meeting_id, path), one document per file: meeting_id, seg_no, start_s, end_s, ..."""
-    docs = (spark.read.schema(SEGMENT_DOC).option("recursiveFileLookup", True).json(root, multiLine=True)
-            .select(named_path(root).alias("path"), "segments"))
-    rows = docs.join(chosen.select("meeting_id", "path"), "path").select("meeting_id", F.posexplode("segments").alias("pos", "s"))
+    if packed:  # only the chosen ones are parsed
+        docs = _packed(spark, root).join(chosen.select("meeting_id", "path"), "path").select(
+            "meeting_id", F.from_json("body", SEGMENT_STRUCT)["segments"].alias("segments"))
+    else:
+        docs = (spark.read.schema(SEGMENT_DOC).option("recursiveFileLookup", True).json(root, multiLine=True)
+                .select(named_path(root).alias("path"), "segments")).join(chosen.select("meeting_id", "path"), "path")
+    rows = docs.select("meeting_id", F.posexplode("segments").alias("pos", "s"))
     return rows.select("meeting_id", (F.col("pos") + 1).cast("long").alias("seg_no"), F.col("s.start").alias("start_s"),
                        F.col("s.end").alias("end_s"), F.col("s.speaker").alias("speaker"), F.col("s.text").alias("text"), F.col("s.words").alias("words"))
 
@@ -74,14 +102,15 @@ def read_documents(spark: SparkSession, root: str, chosen: DataFrame) -> DataFra
 SIDECARS = {"actions": "_actions.json", "decisions": "_decisions.json"}
 
 
-def read_sidecars(spark: SparkSession, root: str) -> DataFrame:
+def read_sidecars(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
     """dir, stem, kind, body, broken of the side-car files of an archive; what is no JSON array stays as a broken row."""
     path = F.col("path")
     ending = F.lit(None).cast("string")
     for kind, suffix in SIDECARS.items():
         ending = F.when(path.endswith(suffix), kind).otherwise(ending)
-    files = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-             .select(named_path(root).alias("path"), F.col("value").alias("body")).withColumn("kind", ending).filter(F.col("kind").isNotNull()))
+    every = _packed(spark, root) if packed else spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(
+        named_path(root).alias("path"), F.col("value").alias("body"))
+    files = every.withColumn("kind", ending).filter(F.col("kind").isNotNull())
     entries = F.from_json("body", "array<string>", {"mode": "PERMISSIVE"})
     return files.select(F.regexp_extract(path, "^(.*)/", 1).alias("dir"), F.regexp_replace(file_name(path), r"_(actions|decisions)\.json$", "").alias("stem"),
                         "kind", "body", (entries.isNull() | ~F.btrim("body", F.lit(" \n\r\t")).startswith("[")).alias("broken"))

@@ -16,7 +16,7 @@ from ..operators.archive import route_files
 from ..operators.chunking import CHUNK_CHARS, OVERLAP_CHARS, build_chunks
 from ..operators.transcript import parse_turns
 from ..session import stage_table
-from ..sources.files import named_path, plain_folder, relative_path
+from ..sources.files import PACKED, named_path, plain_folder, relative_path
 from .common import FILES_PER_TRIGGER, Batch, BatchSink, drain, file_stream
 
 REGISTERED = "name string, stem string, kind string, category string, subcategory string, content_hash string"
@@ -43,14 +43,17 @@ def watch_folder(spark: SparkSession, inbox: str, fmt: str = "json", files_per_t
 
 
 def watch_transcripts(spark: SparkSession, inbox: str, files_per_trigger: int = FILES_PER_TRIGGER,
-                      archive: str | None = None) -> DataFrame:
+                      archive: str | None = None, packed: bool = False) -> DataFrame:
     """Whole transcript files below the inbox: path below it, time of the last change, text.
 
     A folder ``name=...`` of a partitioned writer names the file; else its own name does.  The source reads a path once, so a
     name that is delivered again comes as another file of its folder.  With ``archive`` the source moves files there once
-    their batch is done.
+    their batch is done.  ``packed``: the files are packs of transcripts, which name their paths (``files.write_packed``).
     """
     options = {"cleanSource": "archive", "sourceArchiveDir": archive} if archive else {}
+    if packed:
+        stream = file_stream(spark, inbox, PACKED, "json", files_per_trigger, **options)
+        return stream.select("path", F.col("_metadata.file_modification_time").alias("modified"), F.col("body").alias("text"))
     stream = file_stream(spark, inbox, "value string", "text", files_per_trigger, wholetext=True, **options)
     return stream.select(named_path(inbox).alias("path"), F.col("_metadata.file_modification_time").alias("modified"),
                          F.col("value").alias("text"))
