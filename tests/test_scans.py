@@ -142,6 +142,22 @@ def test_greedy_dedup(spark, monkeypatch):
     assert found == pairs
 
 
+def test_signatures_lose_no_similar_pair_and_drop_others(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    rows = []
+    for i in range(400):
+        a = list({word() for _ in range(rng.choice([2, 5, 13, 40, 200]))})
+        b = a[rng.randint(0, len(a) // 2):] + [word() for _ in range(rng.randint(0, len(a) // 3))]
+        rows.append((i, a, list(dict.fromkeys(b if i % 2 else [word() for _ in a]))))
+    df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
+    may = dedup._may_match(F.size("a"), F.size("b"), dedup._signature(F.col("a")), dedup._signature(F.col("b")), 0.6)
+    passed = {r.i for r in df.filter(may).collect()}
+    similar = {i for i, a, b in rows if jaccard(set(a), set(b)) >= 0.6}
+    assert similar <= passed and len(similar) > 100
+    assert {i for i in passed if i % 2 == 0} <= similar  # sets of unrelated words
+
+
 def test_anchor_search(spark):
     rng = random.Random(7)
     vocabulary = ["да", "нет", "ёж", "мы", "план", "a1"]
