@@ -3,8 +3,9 @@
 A text that lies inside another shares the least hashes of its stretches with it (winnowing): each stretch of ``WINDOW`` grams
 of ``GRAM`` code points selects the gram of the least hash, and the same stretch selects the same gram wherever it stands.  So
 the outer text is found through any selected gram of the inner one, and the rarest is asked: a text with a word of its own has
-a gram of its own and asks nobody.  Texts too short for a stretch are asked for whole, by their length: outer texts answer with
-all their grams of the lengths that occur among the short ones of their group.  Every answer is then tested by ``contains``.
+a gram of its own and asks nobody.  Texts too short for a stretch are asked for whole: outer texts answer with those of the short ones
+of their group that they hold, or, where a group has more than ``SHORT_TEXTS`` of them, with all their grams of the lengths that occur
+among these.  Every answer is then tested by ``contains``.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 GRAM, WINDOW = 8, 16
 SHORTEST = GRAM + WINDOW - 1
 TEXTS_AT_ONCE = 256
+SHORT_TEXTS = 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,16 +48,18 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _grams(batches: Iterator) -> Iterator:
-    """(id, size, gram): the selected grams, of size 0, and all grams of the short lengths of the group; of short texts the whole."""
+    """(id, size, gram): the selected grams, of size 0, and the short texts of the group that occur, or all grams of their lengths."""
     import pyarrow as pa
 
     for batch in batches:
         for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
             part = batch.slice(at, TEXTS_AT_ONCE)
             owner, size, gram = [], [], []
-            for i, (text, lengths) in enumerate(zip(part.column("text").to_pylist(), part.column("lengths").to_pylist(), strict=True)):
+            columns = [part.column(c).to_pylist() for c in ("text", "lengths", "shorts")]
+            for i, (text, lengths, shorts) in enumerate(zip(*columns, strict=True)):
                 codes = _codes(text)
                 found = [(0, selected(gram_hashes(codes, GRAM)))] if len(codes) >= SHORTEST else []
+                found += [(len(t), gram_hashes(_codes(t), len(t))) for t in shorts if t in text]
                 for n, hashes in found + [(n, np.unique(gram_hashes(codes, n))) for n in lengths if n <= len(codes)]:
                     owner.append(np.full(len(hashes), i, np.int64))
                     size.append(np.full(len(hashes), n, np.int32))
@@ -70,8 +74,13 @@ def contained(texts: DataFrame, group: list[str], order: str, text: str) -> Data
     empty, and ``order`` is unique."""
     rows = texts.select(F.struct(*group).alias("g"), F.col(order).alias("o"), F.col(text).alias("text")).withColumns(
         {"id": F.struct("g", "o"), "n": F.char_length("text")})
-    short = rows.filter(F.col("n") < SHORTEST).groupBy("g").agg(F.collect_set("n").alias("lengths"))  # SHORTEST values at most
-    asked = rows.join(short, "g", "left").select("id", "text", F.coalesce("lengths", F.array().cast("array<int>")).alias("lengths"))
+    small = rows.filter(F.col("n") < SHORTEST)
+    lengths = small.groupBy("g").agg(F.collect_set("n").alias("lengths"), F.count(F.lit(1)).alias("many"))  # SHORTEST values at most
+    few = small.join(lengths.filter(F.col("many") <= SHORT_TEXTS).select("g"), "g", "left_semi")
+    short = lengths.filter(F.col("many") > SHORT_TEXTS).select("g", "lengths", F.array().cast("array<string>").alias("shorts")).unionByName(
+        few.groupBy("g").agg(F.array().cast("array<int>").alias("lengths"), F.collect_list("text").alias("shorts")))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    asked = rows.join(short, "g", "left").select("id", "text", none("lengths", "int"), none("shorts", "string"))
     kind = asked.schema["id"].dataType.simpleString()
     grams = asked.mapInArrow(_grams, f"id {kind}, size int, gram bigint").withColumn("g", F.col("id.g"))
     # The gram that a text asks by: the rarest of its own; one that no other text has needs no question.

@@ -3,9 +3,11 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from mootlake.operators import contained as module
 from mootlake.operators.contained import contained
 from mootlake.operators.items import merge_section_status
 
@@ -34,6 +36,19 @@ def test_contained(spark, seed):
     assert len(want) > 20 and {(r.g, r.o) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("many", [0, 512])
+def test_short_texts_are_looked_for_themselves(spark, monkeypatch, many):
+    long = "an outer text without any end in sight and more words than a window holds"
+    monkeypatch.setattr(module, "SHORT_TEXTS", many)
+    df = spark.createDataFrame([(1, 1, long), (1, 2, "end in"), (1, 3, "see en"), (1, 4, "e"), (2, 5, "end in"), (None, 6, long), (None, 7, "sight")],
+                               "g int, o long, t string")
+    assert {r.o for r in contained(df, ["g"], "o", "t").collect()} == {2, 4, 7}
+    rows = df.filter("g = 1").selectExpr("o AS id", "t AS text", "array() AS lengths", "array('end in', 'see en', 'e') AS shorts").collect()
+    told = pa.RecordBatch.from_pylist([{**r.asDict(), "lengths": []} for r in rows])
+    answers = [x for b in module._grams([told]) for x in b.to_pylist()]
+    assert sorted((a["id"], a["size"]) for a in answers if a["size"]) == [(1, 1), (1, 6), (2, 1), (2, 6), (3, 1), (3, 6), (4, 1)]
+
+
 def folded(notes):
     acc = ""
     for t in notes:
