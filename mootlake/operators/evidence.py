@@ -2,8 +2,9 @@
 
 A quote is found where its longest run of consecutive words occurs.  Both sides
 are cut into word k-grams that meet in an equi-join; grams on one diagonal that
-follow each other form a run.  No side is collected and no pair of texts is
-formed.
+follow each other form a run.  Grams of a text that no quote of its meeting has
+are left out before the join, by a bit map of bounded size.  No side is
+collected and no pair of texts is formed.
 """
 
 from __future__ import annotations
@@ -17,17 +18,46 @@ from ..session import spread, stage_table
 from . import scan
 
 BUCKET_CHARS = 4_096
+FILTER_SLOTS = 512
+
+
+def _positions(words: Column, k: Column) -> Column:
+    """Where a k-gram begins; empty when there are fewer words."""
+    return F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
+
+
+def _words_at(words: Column, i: Column, k: Column, longest: int) -> list[Column]:
+    """Single elements are fetched by index: a slice would copy the whole array."""
+    return [F.get(words, i), *[F.when(F.lit(j) < k, F.get(words, i + j)) for j in range(1, longest)]]
+
+
+def _bit(words: Column, i: Column, k: Column, longest: int, slots) -> Column:
+    """Place of a gram among ``slots`` times 64 bits."""
+    return F.xxhash64(*_words_at(words, i, k, longest)).bitwiseAND((F.lit(64) * slots - 1).cast("long")).cast("int")
 
 
 def _grams(words: Column, k: Column, longest: int = MIN_ANCHOR_WORDS) -> Column:
-    """All k-grams (k <= longest) in order; empty when there are fewer words.
+    """All k-grams (k <= longest) in order."""
+    return F.transform(_positions(words, k), lambda i: F.concat_ws(" ", *_words_at(words, i, k, longest)))
+
 
-    Single elements are fetched by index: a slice would copy the whole array.
+def _wanted_grams(words: Column, k: Column, bits: Column, longest: int, more: list[Column] | None = None) -> Column:
+    """The k-grams (at, gram) whose bit is set: all that some quote has, and few others.
+
+    Elements of the arrays ``more`` at the gram's place follow; fetched here, the arrays need not be copied to every gram.
     """
-    first = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(first, lambda i: F.concat_ws(
-        " ", F.get(words, i), *[F.when(F.lit(j) < k, F.get(words, i + j)) for j in range(1, longest)]))
+    placed = F.transform(_positions(words, k), lambda i: F.struct(
+        i.alias("at"), _bit(words, i, k, longest, F.size(bits)).alias("bit")))
+    wanted = F.filter(placed, lambda p: F.getbit(F.get(bits, F.shiftright(p["bit"], 6)), p["bit"].bitwiseAND(63)) == 1)
+    return F.transform(wanted, lambda p: F.struct(
+        p["at"].alias("at"), F.concat_ws(" ", *_words_at(words, p["at"], k, longest)).alias("gram"),
+        *[F.get(c, p["at"]).alias(f"more_{n}") for n, c in enumerate(more or [])]))
+
+
+def _per_filter(texts: DataFrame) -> DataFrame:
+    """A row for each of a text's filters, with its gram length and bits."""
+    rest = [c for c in texts.columns if c != "filters"]
+    return texts.select(*rest, F.explode("filters").alias("f")).select(*rest, F.col("f.k").alias("k"), F.col("f.bits").alias("bits"))
 
 
 def _quotes(quotes: DataFrame, min_words: int) -> DataFrame:
@@ -38,34 +68,64 @@ def _quotes(quotes: DataFrame, min_words: int) -> DataFrame:
                         F.sha2(F.array_join("words", " "), 256).alias("quote_key"))
 
 
+def _filters(asked: DataFrame, longest: int) -> DataFrame:
+    """Per meeting: for each gram length k its quotes ask for, a bit map of their grams.
+
+    A map has some 32 bits per gram, ``FILTER_SLOTS`` longs at most.  Where a meeting has so many quotes that the map fills up, more
+    grams of its texts pass; the join compares the words themselves.
+    """
+    words, k = F.col("words"), F.col("k")
+    bits = asked.dropDuplicates(["meeting_id", "quote_key"]).select("meeting_id", "k", F.explode(
+        F.transform(_positions(words, k), lambda i: _bit(words, i, k, longest, FILTER_SLOTS))).alias("bit"))
+    sets = bits.groupBy("meeting_id", "k").agg(F.collect_set("bit").alias("found")).withColumn("slots", F.greatest(F.lit(1), F.least(
+        F.lit(FILTER_SLOTS), F.pow(F.lit(2), F.ceil(F.log2(F.size("found") / 2))).cast("int"))))
+    one = F.lit(1).cast("long")
+    maps = F.transform(F.sequence(F.lit(0), F.col("slots") - 1), lambda at: F.aggregate(
+        F.filter("found", lambda b: F.shiftright(b, 6).bitwiseAND(F.col("slots") - 1) == at), F.lit(0).cast("long"),
+        lambda m, b: m.bitwiseOR(F.call_function("shiftleft", one, b.bitwiseAND(63)))))
+    return sets.select("meeting_id", "k", maps.alias("bits")).groupBy("meeting_id").agg(
+        F.collect_list(F.struct("k", "bits")).alias("filters"))
+
+
 def _best_runs(asked: DataFrame, hay_grams: DataFrame, longest: int) -> DataFrame:
-    """Longest run per distinct quote: earliest in the quote, then in the text."""
+    """Longest run per distinct quote: earliest in the quote, then in the text.
+
+    Further columns of the grams come along, from the run's first gram.
+    """
+    more = [c for c in hay_grams.columns if c not in ("meeting_id", "part_no", "k", "hp", "gram")]
     q_grams = asked.dropDuplicates(["meeting_id", "quote_key"]).select(
         "meeting_id", "quote_key", "k", F.posexplode(_grams(F.col("words"), F.col("k"), longest)).alias("qp", "gram"))
     hits = hay_grams.join(q_grams, ["meeting_id", "k", "gram"]).withColumn("diagonal", F.col("hp") - F.col("qp"))
     line = Window.partitionBy("meeting_id", "quote_key", "part_no", "diagonal").orderBy("qp")
     runs = (hits.withColumn("run", F.col("qp") - F.row_number().over(line))
             .groupBy("meeting_id", "quote_key", "part_no", "diagonal", "run")
-            .agg((F.count(F.lit(1)) + F.first("k") - 1).alias("run_len"), F.min("qp").alias("qp"), F.min("hp").alias("hp")))
-    best = F.min_by(F.struct("part_no", "hp", "run_len"), F.struct(-F.col("run_len"), "qp", "part_no", "hp"))
+            .agg((F.count(F.lit(1)) + F.first("k") - 1).alias("run_len"), F.min("qp").alias("qp"), F.min("hp").alias("hp"),
+                 *[F.min_by(c, "hp").alias(c) for c in more]))
+    best = F.min_by(F.struct("part_no", "hp", "run_len", *more), F.struct(-F.col("run_len"), "qp", "part_no", "hp"))
     return runs.groupBy("meeting_id", "quote_key").agg(best.alias("b")).select(
-        "meeting_id", "quote_key", "b.part_no", "b.hp", "b.run_len")
+        "meeting_id", "quote_key", "b.part_no", "b.hp", "b.run_len", *[f"b.{c}" for c in more])
 
 
 def _text_grams(texts: DataFrame, asked: DataFrame, longest: int) -> DataFrame:
-    """Grams of the texts, only in the lengths some quote of the meeting asks for."""
-    lengths = asked.groupBy("meeting_id").agg(F.collect_set("k").alias("ks"))
-    words = spread(texts).select("meeting_id", "part_no", quote_words(F.col("text")).alias("words"))
-    return (words.join(lengths, "meeting_id").withColumn("k", F.explode("ks"))
-            .select("meeting_id", "part_no", "k", F.posexplode(_grams(F.col("words"), F.col("k"), longest)).alias("hp", "gram")))
+    """Grams of the texts that quotes of the meeting may have, only in the lengths asked for.
+
+    The text travels once, not its grams: what no quote has is left out where the grams are formed.
+    """
+    words = spread(texts).select("meeting_id", "part_no", "text").join(_filters(asked, longest), "meeting_id").select(
+        "meeting_id", "part_no", "filters", quote_words(F.col("text")).alias("words"))
+    return _per_filter(words).select("meeting_id", "part_no", "k", F.inline(
+        _wanted_grams(F.col("words"), F.col("k"), F.col("bits"), longest)).alias("hp", "gram"))
+
+
+def _anchored(asked: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    best = _best_runs(asked, _text_grams(texts, asked, min_words), min_words)
+    return asked.select("meeting_id", "item_no", "quote_key").join(best, ["meeting_id", "quote_key"])
 
 
 def anchor_quotes(quotes: DataFrame, texts: DataFrame, min_words: int = MIN_ANCHOR_WORDS,
                   offsets: bool = True) -> DataFrame:
     """Where each quote (meeting_id, item_no, quote) occurs in (meeting_id, part_no, text)."""
-    asked = stage_table(_quotes(quotes, min_words), "quotes")
-    best = _best_runs(asked, _text_grams(texts, asked, min_words), min_words)
-    out = asked.select("meeting_id", "item_no", "quote_key").join(best, ["meeting_id", "quote_key"])
+    out = _anchored(stage_table(_quotes(quotes, min_words), "quotes"), texts, min_words)
     if offsets:
         out = out.join(texts.select("meeting_id", "part_no", "text"), ["meeting_id", "part_no"]).withColumn(
             "char_pos", word_offset(F.col("text"), F.col("hp").cast("int")))
@@ -74,19 +134,20 @@ def anchor_quotes(quotes: DataFrame, texts: DataFrame, min_words: int = MIN_ANCH
 
 
 def _timed_grams(words: DataFrame, asked: DataFrame, longest: int, block: int = scan.BLOCK_ROWS) -> DataFrame:
-    """Grams over timed words; a block also reads the first words of the next one."""
+    """Grams over timed words that quotes may have, with the second of their first word.
+
+    A block of words travels as one row, which also holds the first words of the next block.
+    """
     blk = F.floor(F.col("word_no") / block)
     copies = F.when((F.col("word_no") % block < longest - 1) & (blk > 0), F.array(blk, blk - 1)).otherwise(F.array(blk))
-    rows = words.select("meeting_id", "word_no", "word", F.explode(copies).alias("blk"))
-    ahead = Window.partitionBy("meeting_id", "blk").orderBy("word_no")
-    seq = rows.select("meeting_id", "word_no", "blk", F.array(
-        F.col("word"), *[F.lead("word", i).over(ahead) for i in range(1, longest)]).alias("ws"))
-    lengths = asked.groupBy("meeting_id").agg(F.collect_set("k").alias("ks"))
-    return (seq.filter(F.floor(F.col("word_no") / block) == F.col("blk")).join(lengths, "meeting_id")
-            .withColumn("k", F.explode("ks"))
-            .filter(F.get("ws", F.col("k") - 1).isNotNull())
-            .select("meeting_id", F.lit(0).cast("long").alias("part_no"), "k", F.col("word_no").alias("hp"),
-                    F.array_join(F.slice("ws", F.lit(1), F.col("k")), " ").alias("gram")))
+    rows = words.select("meeting_id", "word_no", "word", "start_s", F.explode(copies).alias("blk"))
+    packed = rows.groupBy("meeting_id", "blk").agg(F.sort_array(F.collect_list(F.struct(
+        (F.col("word_no") - F.col("blk") * block).cast("int").alias("nth"), "word", "start_s"))).alias("w")).select(
+        "meeting_id", "blk", F.col("w.nth").alias("nth"), F.col("w.word").alias("words"), F.col("w.start_s").alias("starts"))
+    found = _per_filter(packed.join(_filters(asked, longest), "meeting_id")).select("meeting_id", "blk", "k", F.inline(_wanted_grams(
+        F.col("words"), F.col("k"), F.col("bits"), longest, [F.col("nth"), F.col("starts")])).alias("at", "gram", "nth", "start_s"))
+    return found.filter(F.col("nth") < block).select(
+        "meeting_id", F.lit(0).cast("long").alias("part_no"), "k", (F.col("blk") * block + F.col("nth")).alias("hp"), "gram", "start_s")
 
 
 def quote_time(quotes: DataFrame, turns: DataFrame, words: DataFrame | None = None,
@@ -97,16 +158,14 @@ def quote_time(quotes: DataFrame, turns: DataFrame, words: DataFrame | None = No
     turn; a time header stands between two turns, so no run spans them.
     """
     parts = turns.select("meeting_id", F.col("turn_no").alias("part_no"), F.col("line").alias("text"))
-    at = anchor_quotes(quotes, parts, min_words, offsets=False)
+    asked = stage_table(_quotes(quotes, min_words), "quotes")
+    at = _anchored(asked, parts, min_words)
     seconds = turns.select("meeting_id", F.col("turn_no").alias("part_no"), F.col("start_sec").alias("block_sec"))
     timed = at.join(seconds, ["meeting_id", "part_no"]).select("meeting_id", "item_no", "block_sec")
     if words is not None:
-        asked = stage_table(_quotes(quotes, min_words), "quotes")
-        best = _best_runs(asked, _timed_grams(words, asked, min_words), min_words).select(
-            "meeting_id", "quote_key", F.col("hp").alias("word_no"))
-        exact = (asked.select("meeting_id", "item_no", "quote_key").join(best, ["meeting_id", "quote_key"])
-                 .join(words.select("meeting_id", "word_no", "start_s"), ["meeting_id", "word_no"])
-                 .select("meeting_id", "item_no", F.col("start_s").cast("long").alias("word_sec")))
+        best = _best_runs(asked, _timed_grams(words, asked, min_words), min_words)
+        exact = asked.select("meeting_id", "item_no", "quote_key").join(best, ["meeting_id", "quote_key"]).select(
+            "meeting_id", "item_no", F.col("start_s").cast("long").alias("word_sec"))
         timed = timed.join(exact, ["meeting_id", "item_no"], "left")
     else:
         timed = timed.withColumn("word_sec", F.lit(None).cast("long"))

@@ -183,3 +183,31 @@ def test_anchor_search(spark):
     got = evidence.anchor_quotes(spark.createDataFrame(quotes, "meeting_id long, item_no long, quote string"),
                                  spark.createDataFrame(texts, "meeting_id long, part_no long, text string")).collect()
     assert {r.meeting_id: (r.word_no, r.run_len, r.char_pos) for r in got} == want
+
+
+def test_text_grams_without_a_quote_stay_out(spark):
+    rng = random.Random(3)
+    hay = [f"w{rng.randrange(10 ** 6)}" for _ in range(5000)]
+    quotes = spark.createDataFrame([(1, 0, " ".join(hay[2400:2410])), (1, 1, "w7 zz")], "meeting_id long, item_no long, quote string")
+    texts = spark.createDataFrame([(1, 0, " ".join(hay)), (2, 0, " ".join(hay))], "meeting_id long, part_no long, text string")
+    asked = evidence._quotes(quotes, 4)
+    grams = evidence._text_grams(texts, asked, 4).collect()
+    assert {(r.hp, r.gram) for r in grams} >= {(i, " ".join(hay[i:i + 4])) for i in range(2400, 2407)}
+    assert len(grams) < 1000  # 9,996 of lengths 2 and 4 without the filter
+    words = spark.createDataFrame([(1, i, w, float(i)) for i, w in enumerate(hay)], "meeting_id long, word_no long, word string, start_s double")
+    timed = evidence._timed_grams(words, asked, 4, block=100).collect()
+    assert {(r.hp, r.gram) for r in timed} >= {(i, " ".join(hay[i:i + 4])) for i in range(2400, 2407)}
+    assert len(timed) < 1000 and all(r.start_s == r.hp for r in timed)
+
+
+def test_anchors_with_a_full_filter(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "FILTER_SLOTS", 1)
+    rng = random.Random(5)
+    hay = [f"w{rng.randrange(10 ** 6)}" for _ in range(900)]
+    turns = spark.createDataFrame([(1, n, 10 * n, " ".join(hay[n * 300:n * 300 + 300])) for n in range(3)],
+                                  "meeting_id long, turn_no long, start_sec long, line string")
+    words = spark.createDataFrame([(1, i, w, i / 2) for i, w in enumerate(hay)], "meeting_id long, word_no long, word string, start_s double")
+    starts = range(0, 890, 7)
+    quotes = spark.createDataFrame([(1, i, " ".join(hay[i:i + 9])) for i in starts], "meeting_id long, item_no long, quote string")
+    got = {r.item_no: (r.verified, r.t_sec) for r in evidence.quote_time(quotes, turns, words).collect()}
+    assert got == {i: (True, i // 2) for i in starts}
