@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from mootlake.operators import chunking, dedup, evidence, scan, transcript
+from mootlake.operators import chunking, dedup, evidence, pii, scan, transcript
 
 
 def test_block_scans_equal_plain_loops(spark):
@@ -211,3 +211,20 @@ def test_anchors_with_a_full_filter(spark, monkeypatch):
     quotes = spark.createDataFrame([(1, i, " ".join(hay[i:i + 9])) for i in starts], "meeting_id long, item_no long, quote string")
     got = {r.item_no: (r.verified, r.t_sec) for r in evidence.quote_time(quotes, turns, words).collect()}
     assert got == {i: (True, i // 2) for i in starts}
+
+def test_dictionary_forms_names_at_first_words_only(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(3000)]
+    words[100:103], words[2000:2002] = ["Anna", "Maria", "Brown"], ["Acme", "Ltd"]
+    texts = spark.createDataFrame([(1, 1, " ".join(words)), (2, 1, None), (3, 1, "")], "meeting_id long, part long, text string")
+    names = spark.createDataFrame([("Anna", "PERSON"), ("Anna Maria Brown", "PERSON"), ("Acme Ltd", "COMPANY"), ("Maria Ltd", "COMPANY")],
+                                  "value string, label string")
+    got = {(r.start, r.stop, r.type, r.value) for r in pii.dictionary_spans(texts, names).collect()}
+    at = lambda n: len(" ".join(words[:n])) + 1
+    assert got == {(at(i), at(i) + len(v), k, v) for i, v, k in [(100, "Anna", "PERSON"), (100, "Anna Maria Brown", "PERSON"), (2000, "Acme Ltd", "COMPANY")]}
+    tokens = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h"))
+    mask = pii.FIRST_WORD_SLOTS * 64 - 1
+    bits = spark.range(1).select(pii._first_word_bits(names).alias("bits"))
+    passed = tokens.crossJoin(bits).filter(F.getbit(F.get("bits", F.shiftright(F.col("h").bitwiseAND(mask), 6).cast("int")),
+                                                    F.col("h").bitwiseAND(63).cast("int")) == 1).count()
+    assert 3 <= passed < 30
