@@ -270,8 +270,10 @@ FROM r WHERE outcome <> 'deleted'"""
 
 
 def review_fields(actions):
-    fields = state.keep_first(state.action_fields(actions.withColumn("tie", F.struct("part_no", "supp_no", "qty"))))
-    return fields.select("meeting_id", "src_key", "idx", "text", "owner", "confidence", "kind", *[c for c in ("status",) if c in fields.columns])
+    fields = state.action_fields(actions.withColumn("tie", F.struct("part_no", "supp_no", "qty")))
+    # only these columns travel
+    return state.keep_first(fields.select("meeting_id", "src_key", "idx", "text", "owner", "confidence", "kind",
+                                          *[c for c in ("status", "tie") if c in fields.columns]))
 
 
 @query("sync_proposals", SYNC)
