@@ -37,12 +37,14 @@ def attach(rows: DataFrame, summary: DataFrame, key: str, salt: Column, how: str
     """Join ``rows`` with a summary table that has one row per ``key``.
 
     The summary is a written table, so counting it is cheap.  Up to ``small_rows`` rows it is broadcast; beyond, both
-    sides are dealt by key and salt, so a key that holds a third of all rows meets its summary row in many tasks.
+    sides are dealt by key and salt, so a key that holds a third of all rows meets its summary row in many tasks.  The
+    planner takes the salted summary for as small as the summary, so the join is named: it must not be broadcast.
     """
     if summary.count() <= small_rows:
         return rows.join(F.broadcast(summary), key, how)
     salted = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).join(
+        salted.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def slices(batch, limit: int) -> Iterator:

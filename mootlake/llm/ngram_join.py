@@ -409,7 +409,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             .where((F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
                    & (differing * (q + p) <= (F.col("na") + F.col("nb")) * (q - p))).select("a", "b"))
     fits = stage_table(fits, "join-pairs")
-    wanted = nodes.join(fits.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    # after an explode the planner takes a table for smaller than it is; it must not broadcast this one
+    ends = fits.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.join(ends.hint("merge"), "node", "left_semi")
     sets = stage_table(sets_of(docs, stage_table(wanted.select("node", "doc_id", "text_key"), "join-wanted")), "join-sets")
     both = (fits.join(sets.toDF("b", "fb"), "b").join(sets.toDF("a", "fa"), "a")
             .withColumn("common", F.size(F.array_intersect("fa", "fb"))))
