@@ -114,18 +114,21 @@ def sync_proposals(old: DataFrame, batch: DataFrame, touched: DataFrame) -> Data
 
 
 def sync_taken(old: DataFrame, batch: DataFrame) -> DataFrame:
-    """The rows that ``sync_proposals`` inserts or updates, without those it keeps; of ``old`` the key and the status will do."""
+    """The rows that ``sync_proposals`` inserts or updates, without those it keeps; of ``old`` the key and the status will do.
+
+    ``old`` is read from well compressed files, which the planner takes for small; here and below it must not be broadcast.
+    """
     key = ["meeting_id", "src_key"]
     o = old.select(*key, F.struct("status").alias("o"))
-    taken = batch.join(o, key, "left").filter(F.col("o").isNull() | (F.col("o.status") == "proposed"))
+    taken = batch.join(o.hint("merge"), key, "left").filter(F.col("o").isNull() | (F.col("o.status") == "proposed"))
     return taken.select(*key, F.lit("proposed").alias("status"), *[c for c in batch.columns if c not in (*key, "status")])
 
 
 def sync_gone(old: DataFrame, taken: DataFrame, touched: DataFrame) -> DataFrame:
     """The keys that ``sync_proposals`` deletes: open, of a meeting of the run, and not among the rows of ``sync_taken``."""
     key = ["meeting_id", "src_key"]
-    missing = old.filter(F.col("status") == "proposed").select(*key).join(taken.select(*key), key, "left_anti")
-    return missing.join(touched.select("meeting_id").distinct(), "meeting_id", "left_semi")
+    missing = old.filter(F.col("status") == "proposed").select(*key).join(taken.select(*key).hint("merge"), key, "left_anti")
+    return missing.join(touched.select("meeting_id").distinct().hint("merge"), "meeting_id", "left_semi")
 
 
 def latest_names(speaker_map: DataFrame, order: str | None = None) -> DataFrame:

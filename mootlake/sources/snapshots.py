@@ -2,7 +2,8 @@
 
 Version 0 is whole.  Version n+1 is written as the rows that batch n set and the keys that it took out, so a batch writes
 what it changes and not the table.  All of it lies in one bucketed table, dealt by the whole key: joins with a version on
-this key move none of its rows, and no group of keys meets in one task.
+this key move none of its rows, and no group of keys meets in one task.  Its files are compressed so well that the planner
+takes rows of a hundred times their size for small enough to broadcast, so joins with it are named merge joins.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class SnapshotTable:
         replaced = F.col("l.by_version") > F.col("h.by_version")
         for k in self.key:
             replaced = replaced & (F.col(f"l.{k}") == F.col(f"h.{k}"))
-        return held.join(later, replaced, "left_anti").select(*names)
+        return held.join(later.hint("merge"), replaced, "left_anti").select(*names)
 
     def begin(self, df: DataFrame) -> None:
         """Version 0."""
