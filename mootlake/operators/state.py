@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.text import filled, first_filled, source_key, strip
 from ..functions.times import timecode
+from ..session import stage_table
 from . import scan
 from .items import task_or_minor
 
@@ -95,20 +96,20 @@ def sync_proposals(old: DataFrame, batch: DataFrame, touched: DataFrame) -> Data
 
     New items come in as 'proposed'; proposed rows take the new text fields or
     vanish with their item; rows a person decided on stay as they are.
-    ``touched`` lists the meetings of the run, also those without any item.
+    ``touched`` lists the meetings of the run, also those without any item; only open rows without an item of the run are
+    asked for in it, so the merged rows are written once and no others move by meeting.
     """
     key = ["meeting_id", "src_key"]
     fields = [c for c in old.columns if c not in (*key, "status")]
     o = old.select(*key, F.struct("status", *fields).alias("o"))
     n = batch.select(*key, F.struct(*fields).alias("n"))
-    merged = o.join(n, key, "full_outer").join(
-        touched.select("meeting_id").distinct().withColumn("__run", F.lit(True)), "meeting_id", "left")
+    merged = stage_table(o.join(n, key, "full_outer"), "merged")
     open_row = F.col("o.status") == "proposed"
-    outcome = (F.when(F.col("o").isNull(), "inserted")
-               .when(F.col("n").isNotNull() & open_row, "updated")
-               .when(F.col("n").isNull() & open_row & F.coalesce("__run", F.lit(False)), "deleted").otherwise("kept"))
+    missing = F.coalesce(F.col("n").isNull() & open_row, F.lit(False))
+    stays = merged.filter(missing).join(touched.select("meeting_id").distinct(), "meeting_id", "left_anti")
+    outcome = F.when(F.col("o").isNull(), "inserted").when(F.col("n").isNotNull() & open_row, "updated").otherwise("kept")
     take_new = F.col("outcome").isin("inserted", "updated")
-    return merged.withColumn("outcome", outcome).filter(F.col("outcome") != "deleted").select(
+    return merged.filter(~missing).unionByName(stays).withColumn("outcome", outcome).select(
         *key, F.coalesce("o.status", F.lit("proposed")).alias("status"),
         *[F.when(take_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in fields], "outcome")
 
